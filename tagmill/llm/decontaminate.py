@@ -112,16 +112,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_w
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents", most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs without contaminated documents, or with the hit words cut out of them (remove="spans", text normalised there)."""
-    if remove == "documents":
-        found = contamination(docs, benchmark, n, most_windows, keep=tuple(c for c in docs.columns if c != "doc_id"))
-        return found.where(F.col("n_hit") == 0).select(docs.columns)
-    if remove != "spans":
+    """docs without contaminated documents, or with the hit words cut out of them (remove="spans", text normalised there).
+
+    Only the ids and digests of contaminated texts are joined with docs, so texts are never copied for each hit.
+    """
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    found = contamination(docs, benchmark, n, most_windows, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    digest = F.unhex(F.md5("text"))
+    found = contamination(docs.select("doc_id", "text", digest.alias("_digest")), benchmark, n, most_windows, keep=("_digest",)).where(F.col("n_hit") > 0)
+    found = found.select(F.col("doc_id").alias("_id"), "_digest", "spans").dropDuplicates(["_id", "_digest"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    if remove == "documents":
+        return docs.join(found, same, "left_anti")
     inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["n"]))
     clean = F.array_join(F.filter(words(F.col("text")), lambda w, i: ~inside(i)), " ")
-    return found.withColumn("text", F.when(F.col("n_hit") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    joined = docs.join(found, same, "left")
+    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
 
 
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,0 +1,197 @@
+"""Every query over the label model, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagmill import fixtures as fx
+from tagmill.fixtures import ctes
+from tagmill.operators import corrections, fields, geometry, gs1, lines, merge, rules, spec
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _queries[name] = query
+    if sql:
+        _sql[name] = sql
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# shapes and boxes
+_SHAPE = "CASE WHEN img_h=0 THEN 'landscape' WHEN img_w::DOUBLE/img_h>1.8 THEN 'landscape' WHEN img_w::DOUBLE/img_h BETWEEN 0.85 AND 1.15 THEN 'circular' WHEN img_w::DOUBLE/img_h<0.7 THEN 'portrait' ELSE 'landscape' END"
+_PAGE = ("page", "SELECT label_id, seq, x, y, w, h, 3000 AS img_w, label_id%3*500 AS img_h FROM fx_boxes")
+_page = lambda s, d: fx.boxes(s, d).selectExpr("label_id", "seq", "x", "y", "w", "h", "3000L img_w", "label_id%3*500 img_h")
+
+_add("label_shape", lambda s, d: geometry.with_shape(fx.labels(s, d)), ctes(f"SELECT *, {_SHAPE} AS shape FROM fx_labels"))
+_add("resize", lambda s, d: geometry.resized(fx.labels(s, d)), ctes(
+    "SELECT label_id, CASE WHEN img_w<2400 THEN 2400 WHEN img_w>4500 THEN 4500 ELSE img_w END AS new_w, CASE WHEN img_w<2400 THEN CAST(trunc(img_h*(2400::DOUBLE/img_w)) AS BIGINT) "
+    "WHEN img_w>4500 THEN CAST(trunc(img_h*(4500::DOUBLE/img_w)) AS BIGINT) ELSE img_h END AS new_h FROM fx_labels"))
+_add("bbox_norm", lambda s, d: geometry.normalised(_page(s, d)), ctes(
+    "SELECT label_id, seq, x::DOUBLE/img_w AS x_frac, CASE WHEN img_h<>0 THEN y::DOUBLE/img_h ELSE 0 END AS y_frac, w::DOUBLE/img_w AS w_frac, CASE WHEN img_h<>0 THEN h::DOUBLE/img_h ELSE 0 END AS h_frac FROM page", _PAGE))
+_add("bbox_clamp", lambda s, d: geometry.clamped(_page(s, d)), ctes(
+    "SELECT label_id, seq, cx, cy, greatest(1, least(w, img_w-cx)) AS cw, greatest(1, least(h, img_h-cy)) AS ch FROM (SELECT *, greatest(0, least(x, img_w-1)) AS cx, greatest(0, least(y, img_h-1)) AS cy FROM page)", _PAGE))
+_add("bbox_derived", lambda s, d: geometry.derived(_page(s, d)), ctes("SELECT label_id, seq, x+w/2 AS center_x, y+h/2 AS center_y, x+w AS \"right\", y+h AS bottom FROM page", _PAGE))
+_add("bbox_union", lambda s, d: geometry.union_box(fx.boxes(s, d), "label_id"), ctes("SELECT label_id, min(x) AS ux, min(y) AS uy, max(x+w)-min(x) AS uw, max(y+h)-min(y) AS uh FROM fx_boxes GROUP BY label_id"))
+_add("reading_order", lambda s, d: geometry.reading_order(fx.boxes(s, d)), ctes("SELECT label_id, seq, x, y, row_number() OVER (PARTITION BY label_id ORDER BY y//10, x, seq, y, w, h) AS place FROM fx_boxes"))
+_add("grid_dedup", lambda s, d: geometry.grid_distinct(fx.boxes(s, d)), ctes(
+    "SELECT label_id, seq, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY label_id, x//10, y//10, w//10, h//10 ORDER BY seq, x, y, w, h) AS k FROM fx_boxes) WHERE k=1"))
+_add("region_class", lambda s, d: geometry.regions(fx.boxes(s, d)), ctes(
+    "SELECT label_id, seq, x, y, CASE WHEN r>180 AND g<80 AND b<80 THEN 'red_zone' WHEN b>150 AND r<80 AND g<120 THEN 'blue_zone' WHEN r>200 AND g>200 AND b<80 THEN 'yellow_zone' "
+    "WHEN r>230 AND g>230 AND b>230 THEN 'white_zone' WHEN r<60 AND g<60 AND b<60 THEN 'black_zone' ELSE 'neutral_zone' END AS region FROM fx_boxes WHERE w*h>=2000 AND w*h<=2720000"))
+_add("line_kind", lambda s, d: geometry.line_kind(fx.boxes(s, d)), ctes("SELECT label_id, seq, CASE WHEN w>h THEN 'horizontal' ELSE 'vertical' END AS direction FROM fx_boxes WHERE w>=20 OR h>=20"))
+_add("overlap_pairs", lambda s, d: geometry.overlaps(fx.boxes(s, d)), ctes(
+    "SELECT a.label_id, a.seq AS seq1, b.seq AS seq2, (least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*(least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y)) AS area, "
+    "((least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*(least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y)))::DOUBLE/least(a.w*a.h,b.w*b.h) AS ratio FROM fx_boxes a JOIN fx_boxes b ON a.label_id=b.label_id AND a.seq<b.seq "
+    "AND a.x<b.x+b.w AND b.x<a.x+a.w AND a.y<b.y+b.h AND b.y<a.y+a.h"))
+
+
+def _zone_case(name: str, at: str) -> str:
+    start, out = 0.0, "CASE"
+    for zone, end in geometry.ZONES[name]:
+        out += f" WHEN {at}>={start}::DOUBLE AND {at}<{end}::DOUBLE THEN '{zone}'"
+        start = end
+    return f"{out} ELSE '{geometry.ZONES[name][-1][0]}' END"
+
+
+_ZONED = ("zoned", f"SELECT w.*, CASE l.shape WHEN 'landscape' THEN {_zone_case('landscape', '((x+w/2)/img_w)')} WHEN 'portrait' THEN {_zone_case('portrait', '((y+h/2)/img_h)')} "
+          f"ELSE {_zone_case('circular', '((y+h/2)/img_h)')} END AS zone FROM fx_words w JOIN (SELECT *, {_SHAPE} AS shape FROM fx_labels) l USING (label_id)")
+_zoned = lambda s, d: geometry.zoned(fx.words(s, d), fx.labels(s, d))
+_add("zone_assign", lambda s, d: _zoned(s, d).select("label_id", "word_idx", "zone"), ctes("SELECT label_id, word_idx, zone FROM zoned", _ZONED))
+_add("zone_summary", lambda s, d: lines.zone_summary(_zoned(s, d)), ctes(
+    "SELECT label_id, zone, count(*) AS word_count, floor((sum(round(conf*100)::BIGINT)*20+count(*))::DOUBLE/(count(*)*2))/1000 AS avg_confidence FROM zoned GROUP BY ALL", _ZONED))
+
+# lines
+_GAP = ("gaps", "SELECT label_id, hs[len(hs)//2+1] AS median_h, coalesce(greatest(4, floor(hs[len(hs)//2+1]*0.7::DOUBLE)::BIGINT), 8) AS gap FROM (SELECT label_id, list_sort(list(h) FILTER (h>0)) AS hs FROM fx_words GROUP BY label_id)")
+_LINES = ("numbered", "SELECT *, sum(opened) OVER (PARTITION BY label_id ORDER BY y, x, word_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no FROM (SELECT w.*, CASE WHEN y > max(y+h) OVER "
+          "(PARTITION BY label_id ORDER BY y, x, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+gap THEN 1 ELSE 0 END AS opened FROM fx_words w JOIN gaps USING (label_id))")
+_add("upper_median", lambda s, d: lines.line_gap(fx.words(s, d)), ctes("SELECT label_id, median_h, gap FROM gaps", _GAP))
+_add("line_group", lambda s, d: lines.line_groups(fx.words(s, d)).select("label_id", "word_idx", "line_no"), ctes("SELECT label_id, word_idx, line_no FROM numbered", _GAP, _LINES))
+_add("line_text", lambda s, d: lines.line_texts(fx.words(s, d)), ctes("SELECT label_id, line_no, string_agg(text, ' ' ORDER BY x, y, word_idx) AS line FROM numbered GROUP BY ALL", _GAP, _LINES))
+_add("conf_gate", lambda s, d: lines.gated(fx.words(s, d)).select("label_id", "word_idx"), ctes("SELECT label_id, word_idx FROM fx_words WHERE conf>=0.25 OR conf=1"))
+_add("first_match", lambda s, d: lines.first_match(fx.words(s, d), fx.labels(s, d).selectExpr("label_id", "case label_id%3 when 0 then 'the' when 1 then 'de' else 'er' end target")), ctes(
+    "SELECT label_id, target, word_idx, text FROM (SELECT w.label_id, target, word_idx, text, row_number() OVER (PARTITION BY w.label_id ORDER BY word_idx) AS k FROM fx_words w JOIN "
+    "(SELECT label_id, CASE label_id%3 WHEN 0 THEN 'the' WHEN 1 THEN 'de' ELSE 'er' END AS target FROM fx_labels) USING (label_id) WHERE contains(text, target) OR contains(target, text)) WHERE k=1"))
+
+# codes
+_KEYS = ["l_orderkey", "l_linenumber", "gs1"]
+_DATE = "concat(substr({0},1,2),'-',substr({0},3,2),'-',substr({0},5,2))"
+_PAREN = ("paren", "SELECT DISTINCT l_orderkey, l_linenumber, gs1, ai AS ai_code, v AS value FROM (SELECT *, unnest(regexp_extract_all(gs1,'\\((\\d{2,4})\\)([^(]+)',1)) AS ai, unnest(regexp_extract_all(gs1,'\\((\\d{2,4})\\)([^(]+)',2)) AS v FROM fx_codes)")
+_NAMED = "CASE ai_code WHEN '240' THEN 'additional_id' WHEN '11' THEN 'prod_date' WHEN '10' THEN 'batch_lot' ELSE concat('ai_',ai_code) END AS name"
+_gs1 = lambda s, d: gs1.fields(fx.codes(s, d), _KEYS, gs1.parenthesised(F.col("gs1")))
+_add("gs1_paren", _gs1, ctes(f"SELECT *, {_NAMED}, CASE WHEN ai_code='11' THEN {_DATE.format('value')} END AS formatted, value<>'' AS present FROM paren", _PAREN))
+_add("ai_promote", lambda s, d: gs1.promoted(_gs1(s, d), *_KEYS), ctes(f"SELECT l_orderkey, l_linenumber, gs1, concat('ai_',ai_code) AS field_id, CASE WHEN ai_code='11' THEN {_DATE.format('value')} ELSE value END AS value FROM paren", _PAREN))
+_add("gs1_compact", lambda s, d: gs1.fields(fx.codes(s, d), ["compact"], gs1.compact(F.col("compact"))), ctes(
+    f"SELECT DISTINCT compact, ai_code, {_NAMED}, value, CASE WHEN ai_code='11' THEN {_DATE.format('value')} END AS formatted, true AS present FROM (SELECT compact, unnest(['240','11','77']) AS ai_code, "
+    "unnest([substr(compact,7,14), substr(compact,24,6), substr(split_part(compact,chr(29),3),3)]) AS value FROM fx_codes)"))
+_add("gs1_detect", lambda s, d: gs1.fields(fx.codes(s, d).selectExpr("case l_orderkey%2 when 0 then url else gs1 end raw"), ["raw"], gs1.detected(F.col("raw"), "id.example.com")), ctes(
+    "SELECT DISTINCT raw, ai_code, " + _NAMED + ", value, CASE WHEN ai_code='11' THEN " + _DATE.format("value") + " END AS formatted, true AS present FROM (SELECT url AS raw, unnest(['240','11']) AS ai_code, "
+    "unnest([split_part(split_part(url,'/240/',2),'?',1), split_part(url,'?11=',2)]) AS value FROM fx_codes WHERE l_orderkey%2=0 UNION ALL SELECT gs1, ai_code, value FROM paren WHERE l_orderkey%2<>0)", _PAREN))
+_add("itf_article", lambda s, d: fx.codes(s, d).select("itf", fields.itf_article(F.col("itf")).alias("a")).select("itf", "a.*").distinct(), ctes(
+    "SELECT DISTINCT itf, concat(substr(itf,1,3),'.',substr(itf,4,3),'.',substr(itf,7,2)) AS article_number, substr(itf,9,5) AS article_code FROM fx_codes"))
+_add("check_digit", lambda s, d: fx.codes(s, d).select("itf", fields.check_digit_ok(F.col("itf")).alias("ok")).distinct(), ctes(
+    "SELECT DISTINCT itf, (10 - (" + "+".join(f"substr(itf,{k},1)::INT*{3 if k % 2 else 1}" for k in range(1, 14)) + ")%10)%10 = substr(itf,14,1)::INT AS ok FROM fx_codes"))
+
+# fields
+_add("zone_fields", lambda s, d: fields.zone_fields(fx.zone_texts(s, d)), ctes(
+    r"SELECT label_id, regexp_extract(barcode_text,'\d{3}\.\d{3}\.\d{2}') AS article_number, CASE label_id%6 WHEN 0 THEN 'Made in China' WHEN 1 THEN 'Assembled in People''s Republic of China' WHEN 2 THEN 'Made in Vietnam' "
+    r"WHEN 3 THEN 'Made in Poland' END AS origin_text, CASE WHEN compliance_text<>'' THEN concat_ws(', ', CASE WHEN contains(compliance_text,'CE') THEN 'CE' END, CASE WHEN contains(compliance_text,'TSCA') THEN 'TSCA' END, "
+    r"CASE WHEN contains(compliance_text,'rohs') THEN 'RoHS' END) END AS marks, CASE WHEN contains(compliance_text,'12 M+') THEN '12M+' END AS age, concat('Gross ',split_part(split_part(identity_text,'Gross ',2),' ',1),' kg') AS gross, "
+    r"regexp_extract(identity_text,'\d+x\d+ cm') AS dims, CASE WHEN label_id%4<3 THEN regexp_extract(date_text,'\d{4}') END AS stamp, CASE label_id%4 WHEN 0 THEN 0.88::DOUBLE WHEN 1 THEN 0.792::DOUBLE WHEN 2 THEN 0.616::DOUBLE END AS stamp_conf, "
+    r"CASE label_id%4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS stamp_match FROM fx_zone_texts"))
+_add("name_tokens", lambda s, d: fx.words(s, d).where(fields.is_name_token(F.col("text"))).select("label_id", "word_idx", "text"), ctes(
+    "SELECT label_id, word_idx, text FROM fx_words WHERE regexp_matches(regexp_replace(regexp_replace(text,'^[.,;:!?()]+',''),'[.,;:!?()]+$',''),'^[A-ZÅÄÖ]{2,}([-/][A-ZÅÄÖ]+)*$') AND NOT contains(text, chr(10)) AND "
+    "regexp_replace(regexp_replace(text,'^[.,;:!?()]+',''),'[.,;:!?()]+$','') NOT IN (" + ",".join(f"'{w}'" for w in fields.STOP_WORDS) + ")"))
+_add("highlight_tokens", lambda s, d: fx.zone_texts(s, d).select("label_id", F.array_join(fields.highlight_tokens(F.col("identity_text")), " ").alias("tokens")), ctes(
+    r"SELECT label_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(identity_text),'[\s,;()]+'), lambda t: length(t)>=3))),' ') AS tokens FROM fx_zone_texts"))
+_add("file_hash", lambda s, d: fx._view(s, d, "pages", "page_id", "encode(html,'UTF-8') content").select("page_id", fields.file_hash(F.col("content"), F.lit(600)).alias("file_hash")), "SELECT page_id, substr(sha256(concat(html,'600')),1,16) AS file_hash FROM pages")
+_add("sniff", lambda s, d: fx._view(s, d, "part", "p_partkey", "unhex(case p_partkey%6 when 0 then '255044462D' when 1 then 'FFD8FFE0' when 2 then '89504E470D' when 3 then '49492A00' when 4 then '424D00' else '00' end) head").select("p_partkey", fields.sniffed(F.col("head")).alias("suffix")),
+     "SELECT p_partkey, CASE p_partkey%6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 3 THEN '.tif' WHEN 4 THEN '.bmp' END AS suffix FROM part")
+_add("field_category", lambda s, d: fx.fields(s, d).select("field_id").distinct().select("field_id", fields.category(F.col("field_id")).alias("category")), ctes(
+    "SELECT DISTINCT field_id, CASE WHEN field_id IN ('datamatrix_barcode','itf14_barcode','ai_13') THEN 'barcodes' WHEN field_id='date_stamp' THEN 'date' WHEN field_id='origin_text' THEN 'address' ELSE 'identity' END AS category FROM fx_fields"))
+_add("confidence_band", lambda s, d: fx.fields(s, d).select("label_id", "field_id", fields.band(F.col("confidence"), 0.85, 0.60).alias("band")), ctes("SELECT label_id, field_id, CASE WHEN confidence>=0.85 THEN 'green' WHEN confidence>=0.6 THEN 'amber' ELSE 'red' END AS band FROM fx_fields"))
+
+# types, rules and scores
+_SCORES = ("scores", "SELECT c.label_id, s.label_type_id, s.schema_ord, round(greatest((coalesce(got,0)+CASE WHEN has_itf THEN CASE WHEN itf THEN 10 ELSE -5 END ELSE 0 END+CASE WHEN has_dmv THEN CASE WHEN dm THEN 10 ELSE -5 END ELSE 0 END"
+           "+CASE WHEN has_ean THEN -5 ELSE 0 END)::DOUBLE/(coalesce(most,0)+30),0),3) AS score FROM (SELECT label_id, bool_or(field_id='itf14_barcode' AND value IS NOT NULL) AS itf, bool_or(field_id='datamatrix_barcode' AND value IS NOT NULL) AS dm FROM fx_fields GROUP BY label_id) c "
+           "CROSS JOIN fx_schemas s LEFT JOIN (SELECT label_type_id, sum(tenths)::BIGINT AS most FROM fx_schema_fields GROUP BY 1) m USING (label_type_id) LEFT JOIN (SELECT f.label_id, sf.label_type_id, sum(tenths)::BIGINT AS got FROM fx_fields f JOIN "
+           "(SELECT label_type_id, coalesce(field_id, field) AS field_id, tenths FROM fx_schema_fields LEFT JOIN fx_alias USING (field)) sf USING (field_id) WHERE trim(f.value)<>'' GROUP BY ALL) h ON h.label_id=c.label_id AND h.label_type_id=s.label_type_id")
+_RANKED = ("ranked", "SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY score DESC, schema_ord)::INT AS rank FROM scores")
+_RESULTS = ("results", "SELECT b.label_id, b.label_type_id, r.rule_ord, r.rule_id, r.severity, CASE WHEN r.\"check\"='present' THEN CASE WHEN trim(coalesce(f.value,''))<>'' THEN 'pass' ELSE 'fail' END WHEN r.\"check\"='ai_field_present' THEN CASE WHEN r.ai NOT IN ('240','11','13','10') THEN 'skip' "
+            "WHEN trim(coalesce(f.value,''))<>'' THEN 'pass' WHEN d.label_id IS NOT NULL THEN 'fail' ELSE 'not_found' END WHEN r.\"check\"='regex_match' THEN CASE WHEN f.value IS NULL THEN 'not_found' WHEN NOT pattern_valid THEN 'skip' WHEN regexp_full_match(trim(f.value), CASE WHEN pattern_valid THEN pattern ELSE '' END) THEN 'pass' ELSE 'fail' END "
+            "WHEN r.\"check\"='exact_match' THEN CASE WHEN f.value IS NULL THEN 'not_found' WHEN lower(trim(f.value))=lower(r.value) THEN 'pass' ELSE 'fail' END ELSE 'skip' END AS status FROM (SELECT * FROM ranked WHERE rank=1) b JOIN fx_rules r USING (label_type_id) LEFT JOIN fx_alias a ON a.field=r.field "
+            "LEFT JOIN fx_fields f ON f.label_id=b.label_id AND f.field_id=CASE WHEN r.\"check\"='ai_field_present' THEN concat('ai_',r.ai) ELSE coalesce(a.field_id,r.field) END LEFT JOIN (SELECT DISTINCT label_id FROM fx_fields WHERE field_id='datamatrix_barcode' AND value IS NOT NULL) d ON d.label_id=b.label_id")
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    return rules.type_scores(fx.fields(s, d), fx.schemas(s), fx.schema_fields(s), fx.aliases(s))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    return rules.evaluated(rules.best_type(_scores(s, d)), fx.rules(s), fx.fields(s, d), fx.aliases(s))
+
+
+_add("type_score", _scores, ctes("SELECT * FROM scores", _SCORES))
+_add("type_topk", lambda s, d: rules.shortlist(_scores(s, d)), ctes("SELECT * FROM ranked WHERE rank<=5", _SCORES, _RANKED))
+_add("best_type", lambda s, d: rules.best_type(_scores(s, d)), ctes("SELECT label_id, label_type_id, score FROM ranked WHERE rank=1", _SCORES, _RANKED))
+_add("rule_eval", _results, ctes("SELECT * FROM results", _SCORES, _RANKED, _RESULTS))
+_add("compliance_score", lambda s, d: rules.compliance(_results(s, d)), ctes(
+    "SELECT label_id, label_type_id, coalesce(round((coalesce(sum(w) FILTER (status='pass'),0))::DOUBLE/(sum(w) FILTER (status<>'skip')),3),1) AS compliance_score, count(*) FILTER (status='pass') AS n_pass, count(*) FILTER (status='fail' AND severity='error') AS n_error, "
+    "count(*) FILTER (status='fail' AND severity='warning') AS n_warning, count(*) FILTER (status='skip') AS n_skip FROM (SELECT *, CASE severity WHEN 'error' THEN 20 WHEN 'warning' THEN 10 WHEN 'info' THEN 5 ELSE 10 END AS w FROM results) GROUP BY ALL", _SCORES, _RANKED, _RESULTS))
+_add("overall_confidence", lambda s, d: rules.overall_confidence(fx.fields(s, d)), ctes(
+    "SELECT label_id, round(sum(round(confidence*1000)::BIGINT*k)::DOUBLE/sum(k)/1000,3) AS overall_confidence FROM (SELECT *, CASE WHEN field_id IN ('product_name','article_number','itf14_barcode') THEN 2 ELSE 1 END AS k FROM fx_fields WHERE value IS NOT NULL) GROUP BY label_id"))
+_add("missing_required", lambda s, d: rules.missing(rules.best_type(_scores(s, d)), fx.schema_fields(s), fx.aliases(s), fx.fields(s, d)), ctes(
+    "SELECT b.label_id, b.label_type_id, sf.field, CASE WHEN tenths=10 THEN 'error' ELSE 'warning' END AS severity FROM (SELECT * FROM ranked WHERE rank=1) b JOIN fx_schema_fields sf USING (label_type_id) LEFT JOIN fx_alias a ON a.field=sf.field "
+    "WHERE NOT EXISTS (SELECT 1 FROM fx_fields f WHERE f.label_id=b.label_id AND f.field_id=coalesce(a.field_id,sf.field) AND trim(f.value)<>'')", _SCORES, _RANKED))
+
+# corrections
+_add("apply_corrections", lambda s, d: corrections.applied(fx.fields(s, d), fx.corrections(s, d)), ctes(
+    "SELECT label_id, field_id, coalesce(c.value, f.value) AS value, CASE WHEN c.value IS NOT NULL THEN 1 ELSE f.confidence END AS confidence, CASE WHEN c.value IS NULL OR (f.value IS NOT NULL AND field_id LIKE '%_barcode') "
+    "THEN CASE WHEN field_id LIKE '%_barcode' THEN 'barcode' ELSE 'model' END ELSE 'human' END AS source FROM (SELECT * FROM fx_fields WHERE value IS NOT NULL) f FULL JOIN (SELECT * FROM fx_corrections WHERE value IS NOT NULL) c USING (label_id, field_id)"))
+_add("training_rows", lambda s, d: corrections.training_rows(fx.fields(s, d), fx.corrections(s, d)), ctes(
+    "SELECT c.label_id, c.field_id, c.value AS corrected_value, f.value AS model_value, c.field_id LIKE '%_barcode' AND f.value IS NOT NULL AS is_barcode FROM fx_corrections c LEFT JOIN (SELECT * FROM fx_fields WHERE value IS NOT NULL) f USING (label_id, field_id) WHERE c.value IS NOT NULL"))
+_add("field_count", lambda s, d: corrections.found_count(fx.fields(s, d)), ctes("SELECT label_id, count(*) FILTER (trim(value)<>'') AS n_found FROM fx_fields GROUP BY label_id"))
+
+# catalogue of specifications: the elements are derived from part, one template for each size
+_ELEMENTS = "SELECT concat('T',p_size) AS template_id, concat('E',p_partkey%40) AS element_id, p_partkey, CASE WHEN p_partkey%5=0 THEN 'f9' WHEN p_partkey%3=0 THEN 'f1' END AS ref FROM part"
+
+
+def _flat(s: SparkSession, d: str) -> DataFrame:
+    part = fx._view(
+        s, d, "part", "concat('T',p_size) template_id", "concat('E',p_partkey%40) element_id", "case when p_partkey%5=0 then 'f9' when p_partkey%3=0 then 'f1' end ref",
+        "map_filter(map('zone',case when p_partkey%4<>0 then 'z1' end,'spec',case p_partkey%7 when 0 then 's1' when 1 then 's9' end,'evidence',case when p_partkey%6<>0 then 'e' end,'confidence',cast(p_partkey%12 as string)),(k,v)->v is not null) props",
+    )
+    family = s.sql("select 'f1' ref, map('zone','z0','required','true','orientation','vertical') base")
+    over = s.sql("select concat('T',id) template_id, 'E3' element_id, map('required','false') over from range(1,60)")
+    return spec.flattened(part, family, over)
+
+
+_FLAT = ("flat", "SELECT template_id, element_id, ref='f9' AND ref IS NOT NULL AS unresolved, CASE WHEN p_partkey%4<>0 THEN 'z1' WHEN ref='f1' THEN 'z0' END AS zone, CASE WHEN element_id='E3' THEN 'false' WHEN ref='f1' THEN 'true' END AS required, "
+         "CASE WHEN ref='f1' THEN 'vertical' END AS orientation, CASE p_partkey%7 WHEN 0 THEN 's1' WHEN 1 THEN 's9' END AS spec, CASE WHEN p_partkey%6<>0 THEN 'e' END AS evidence, p_partkey%12 AS confidence FROM (" + _ELEMENTS + ")")
+_specs = lambda s: s.sql("select 's1' spec_id")
+_FOUND = ("found", "SELECT template_id, element_id, 'spec_ref' AS code, 'err' AS severity FROM flat WHERE spec='s9' UNION ALL SELECT template_id, element_id, 'duplicate_id', 'err' FROM flat GROUP BY ALL HAVING count(*)>1 UNION ALL SELECT template_id, element_id, 'family_ref', 'err' FROM flat WHERE unresolved "
+          "UNION ALL SELECT template_id, element_id, 'no_zone', 'err' FROM flat WHERE zone IS NULL UNION ALL SELECT template_id, element_id, 'no_evidence', 'warn' FROM flat WHERE evidence IS NULL UNION ALL SELECT template_id, element_id, 'confidence', 'err' FROM flat WHERE confidence>1")
+_add("flatten_template", lambda s, d: _flat(s, d).select("template_id", "element_id", "unresolved", *(F.try_element_at("props", F.lit(k)).alias(k) for k in ("zone", "required", "orientation", "spec", "evidence"))), ctes("SELECT template_id, element_id, unresolved, zone, required, orientation, spec, evidence FROM flat", _FLAT))
+_add("targets", lambda s, d: spec.targets(_flat(s, d)).groupBy("template_id", "element_id", "check_type", "expected").agg(F.count("*").alias("n")), ctes(
+    "SELECT template_id, element_id, check_type, expected, count(*) AS n FROM (SELECT template_id, element_id, 'presence' AS check_type, CASE WHEN required='true' THEN 'must' ELSE 'may' END AS expected FROM flat UNION ALL SELECT template_id, element_id, 'orientation', orientation FROM flat WHERE orientation<>'horizontal' "
+    "UNION ALL SELECT template_id, element_id, 'barcode_spec', spec FROM flat WHERE spec IS NOT NULL UNION ALL SELECT template_id, element_id, 'placement', zone FROM flat WHERE zone IS NOT NULL) GROUP BY ALL", _FLAT))
+_add("spec_lint", lambda s, d: spec.findings(_flat(s, d), _specs(s)), ctes("SELECT * FROM found", _FLAT, _FOUND))
+_add("spec_verdict", lambda s, d: spec.verdict(spec.findings(_flat(s, d), _specs(s))), ctes(
+    "SELECT count(*) FILTER (severity='err') AS n_err, count(*) FILTER (severity='warn') AS n_warn, CASE WHEN count(*) FILTER (severity='err')=0 THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM found", _FLAT, _FOUND))
+
+# greedy merges: the order of words decides, so there is no SQL form
+_engines = lambda s, d: fx.words(s, d).selectExpr("label_id", "case word_idx%2 when 0 then 'one' else 'two' end engine", "word_idx%2 rank", "word_idx", "text", "cast(x-(word_idx%2)*215 as double) cx", "cast(y as double) cy", "conf")
+_add("merge_words", lambda s, d: merge.merged_words(_engines(s, d)))
+_add("dedup_words", lambda s, d: merge.deduplicated(_engines(s, d)))

@@ -132,7 +132,8 @@ class Encoder:
     special token go to the library whole.
     """
 
-    MOST = 400_000
+    #: Parts kept, about 250 MB in a worker; a worker forgets all of them when there are more.
+    MOST = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -170,7 +171,7 @@ class Encoder:
         if len(self.cache) > self.MOST:
             self.cache = {}
         rest = [s[1:] for s in split if s]
-        self._learn(sorted(set().union(*rest).difference(self.cache)))
+        self._learn(list(set().union(*rest).difference(self.cache)))
         out = []
         for t, s in zip(texts, split, strict=True):
             if s is None:

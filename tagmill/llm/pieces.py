@@ -5,7 +5,8 @@ comes up is skipped if a keyed hash of the seed, the variant, its place and the
 it may come up again only when a neighbouring merge makes it anew. With rate 0 the result is the library's own.
 
 No piece of the vocabularies used reaches over a word's beginning, so texts are cut there and each word is segmented by
-itself; a word's segmentations are cached, one for each of VARIANTS keys. The words of a document take their variants in
+itself, and inside a word wherever no piece holds the two characters side by side, since no merge can cross there. The
+segmentations of words and of their parts are cached, one for each of VARIANTS keys. The words of a document take their variants in
 turn from a start that its id decides, so the same word comes out differently in different places and runs repeat exactly.
 
 Decoding joins pieces and bytes and is exact: characters without a piece become byte pieces, and so does the character
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20
-VARIANTS = 4
-MOST_CACHED = 250_000
+VARIANTS = 2
+#: Words kept for each variant in a worker, about 150 MB.
+MOST_CACHED = 600_000
 _SPACE = "▁"
 _CHUNK = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
@@ -48,6 +50,7 @@ class Pieces:
         self.raw = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() if p in self.ids else b"" for i, p in enumerate(names)]
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.limit, self.seed = int(rate * (1 << 32)), seed
         self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
@@ -83,15 +86,28 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def _word(self, word: str, variant: int) -> bytes:
+    def _part(self, part: str, variant: int) -> bytes:
         out = []
-        for p in self.segment(word, variant):
+        for p in self.segment(part, variant):
             if p in self.ids:
                 out.append(self.ids[p])
             else:
                 out += [self.byte[b] for b in p.encode()]
         return np.array(out, "<i4").tobytes()
 
+    def _word(self, word: str, variant: int) -> bytes:
+        """Ids of a word from those of its parts, which are cut where no piece joins two characters."""
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined]
+        if not cuts:
+            return self._part(word, variant)
+        cache, out = self.cache[variant], []
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            part = word[a:b]
+            if part not in cache:
+                cache[part] = self._part(part, variant)
+            out.append(cache[part])
+        return b"".join(out)
+
     def encode(self, text: str | None, key: int) -> bytes:
         """Ids of a whole text, 32 bits little-endian each; key gives the variant of the first word."""
         if not text:

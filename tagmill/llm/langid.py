@@ -127,9 +127,11 @@ def fit(docs: DataFrame) -> Model | None:
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     sample = usable.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).limit(2 * PER_LANG * len(counts))
     rows = sample.select("doc_id", "lang", F.arrow_udf(_features, "struct<at:array<int>,w:array<float>>")("text").alias("f")).select("doc_id", "lang", "f.*").toArrow()
-    at, w, lang = rows["at"].to_pylist(), rows["w"].to_pylist(), rows["lang"].to_pylist()
-    order = sorted(range(len(lang)), key=lambda i: (rows["doc_id"][i].as_py() or 0, lang[i]))
-    return train([(np.array(at[i], np.int64), np.array(w[i]), lang[i]) for i in order if at[i]])
+    lang, ids = rows["lang"].to_pylist(), rows["doc_id"].to_pylist()
+    at, w = (rows[k].combine_chunks() for k in ("at", "w"))
+    ends, buckets, shares = at.offsets.to_numpy(), at.values.to_numpy(), w.values.to_numpy()  # slices of two arrays, no lists of numbers
+    order = sorted(range(len(lang)), key=lambda i: (ids[i] or 0, lang[i]))
+    return train([(buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]], lang[i]) for i in order if ends[i] < ends[i + 1]])
 
 
 _PREDICTED = pa.struct([("lang", pa.string()), ("score", pa.float64())])

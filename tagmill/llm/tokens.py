@@ -145,6 +145,15 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _keep(self, parts: list[str], ids: list[int], gap: int) -> None:
+        """Cache the ids of parts, which lie between gap ids."""
+        ids = np.array(ids, "<u2")
+        cuts = (2 * np.flatnonzero(ids == gap)).tolist()  # in bytes
+        if len(cuts) != len(parts) - 1:
+            raise AssertionError("parts were not cut at their gaps")
+        raw = ids.tobytes()
+        self.cache.update(zip(parts, map(raw.__getitem__, map(slice, [0, *(c + 2 for c in cuts)], [*cuts, len(raw)])), strict=True))
+
     def _learn(self, parts: list[str]) -> None:
         """parts begin with a space and a printing character; a line feed between them is a token of its own."""
         gap = self._ids("\n")
@@ -152,13 +161,7 @@ class Encoder:
         plain = [p for p in parts if "\n" not in p and not p[-1].isspace() and len(p) > 1 and not p[1].isspace()]
         for i in range(0, len(plain), 2048):
             some = plain[i : i + 2048]
-            ids = np.array(self._ids("\n".join(some)), "<u2")
-            cuts = np.flatnonzero(ids == gap[0])
-            pieces = np.split(ids, cuts)
-            if len(pieces) != len(some):
-                raise AssertionError("parts were not cut at line feeds")
-            for k, (p, x) in enumerate(zip(some, pieces, strict=True)):
-                self.cache[p] = (x[1:] if k else x).tobytes()
+            self._keep(some, self._ids("\n".join(some)), gap[0])
         for p in set(parts).difference(plain):
             self.cache[p] = np.array(self._ids(p), "<u2").tobytes()
 
@@ -170,14 +173,18 @@ class Encoder:
             split.append((" " + t).replace(" ", "\0 ").split("\0")[1:] if plain and "\0" not in t else None)
         if len(self.cache) > self.MOST:
             self.cache = {}
-        rest = [s[1:] for s in split if s]
-        self._learn(list(set().union(*rest).difference(self.cache)))
+        rest = [(s[0][1:], s[1:]) for s in split if s]  # the first part has no space before it
+        self._learn(list(set().union(*(s for _, s in rest)).difference(self.cache)))
+        for p in {p for p, _ in rest}.difference(self.cache):
+            self.cache[p] = np.array(self._ids(p), "<u2").tobytes()
+        known, get = iter(rest), self.cache.__getitem__
         out = []
         for t, s in zip(texts, split, strict=True):
             if s is None:
                 out.append(np.array(self._ids(t), "<u2").tobytes() if t else b"")
-            else:  # the first part has no space before it
-                out.append(b"".join([np.array(self._ids(s[0][1:]), "<u2").tobytes(), *map(self.cache.__getitem__, s[1:])]))
+            else:
+                first, others = next(known)
+                out.append(b"".join([get(first), *map(get, others)]))
         return out
 
 

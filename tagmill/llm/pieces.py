@@ -5,7 +5,8 @@ comes up is skipped if a keyed hash of the seed, the variant, its place and the
 it may come up again only when a neighbouring merge makes it anew. With rate 0 the result is the library's own.
 
 No piece of the vocabularies used reaches over a word's beginning, so texts are cut there and each word is segmented by
-itself, and inside a word wherever no piece holds the two characters side by side, since no merge can cross there. The
+itself, without the signs that follow its letters where no piece joins them. Inside a word too, texts are cut wherever no piece holds the
+two characters side by side, since no merge can cross there. The
 segmentations of words and of their parts are cached, one for each of VARIANTS keys. The words of a document take their variants in
 turn from a start that its id decides, so the same word comes out differently in different places and runs repeat exactly.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -32,10 +34,16 @@ MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20
 VARIANTS = 2
-#: Words kept for each variant in a worker, about 150 MB.
-MOST_CACHED = 600_000
+#: Words kept for each variant in a worker, about 225 MB.
+MOST_CACHED = 900_000
+#: Longer words take a heap for their agenda, which does not grow with the square of their length.
+LONG = 48
+_NEVER = 1 << 30
+#: Odd numbers that spread a place and a key over 32 bits.
+_MIX_1, _MIX_2 = 0x9E3779B1, 0x85EBCA6B
 _SPACE = "▁"
-_CHUNK = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
+_SIGNS = ".,;:!?"
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 
 
 class Pieces:
@@ -51,31 +59,61 @@ class Pieces:
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        signs = "".join(c for c in _SIGNS if not any(y == c and _LETTER.match(x) for x, y in self.joined))
+        #: Words without the signs that follow their letters: no piece joins these.
+        self.chunk = re.compile((f"{_SPACE}*{_LETTER.pattern}++(?=[{signs}])|" if signs else "") + f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
+        order = {x: k for k, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.rank = {p: order[x] for p, x in self.scores.items()}  # the lowest merges first
         self.limit, self.seed = int(rate * (1 << 32)), seed
+        #: The keyed hash of every piece, for each variant; the place is mixed in when a candidate comes up.
+        self.keys = [{p: xxhash.xxh32_intdigest(p, seed * VARIANTS + v) for p in self.ids} for v in range(VARIANTS)]
         self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
+    def skipped(self, place: int, merged: str, variant: int) -> bool:
+        """Whether the dropout skips the candidate that makes merged at a place."""
+        return ((self.keys[variant][merged] ^ place * _MIX_1) * _MIX_2 & 0xFFFFFFFF) < self.limit
+
     def segment(self, word: str, variant: int) -> list[str]:
-        """Pieces of one word by the agenda."""
-        parts, scores, limit = list(word), self.scores, self.limit
+        """Pieces of one word by the agenda: a plain list of the neighbours' ranks, or a heap for long words."""
+        if len(word) > LONG:
+            return self._segment_long(word, variant)
+        parts, rank, keys, limit = list(word), self.rank, self.keys[variant], self.limit
+        places = list(range(len(parts)))
+        agenda = [rank.get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while agenda and (best := min(agenda)) != _NEVER:
+            k = agenda.index(best)  # the leftmost of equals
+            merged = parts[k] + parts[k + 1]
+            if ((keys[merged] ^ places[k] * _MIX_1) * _MIX_2 & 0xFFFFFFFF) < limit:  # as in skipped(), without a call
+                agenda[k] = _NEVER
+                continue
+            parts[k] = merged
+            del parts[k + 1], places[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank.get(merged + parts[k + 1], _NEVER)
+            if k:
+                agenda[k - 1] = rank.get(parts[k - 1] + merged, _NEVER)
+        return parts
+
+    def _segment_long(self, word: str, variant: int) -> list[str]:
+        parts, rank, limit = list(word), self.rank, self.limit
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, str]] = []
+        agenda: list[tuple[int, int, int, str]] = []
 
         def offer(i: int) -> None:
             j = after[i]
             if j < n:
                 merged = parts[i] + parts[j]
-                if merged in scores:
-                    heapq.heappush(agenda, (-scores[merged], i, j, merged))
+                if merged in rank:
+                    heapq.heappush(agenda, (rank[merged], i, j, merged))
 
         for i in range(n - 1):
             offer(i)
-        key = self.seed * VARIANTS + variant
         while agenda:
             _, i, j, merged = heapq.heappop(agenda)
             if not parts[i] or j >= n or after[i] != j or parts[i] + parts[j] != merged:
                 continue  # one of its sides has been merged meanwhile
-            if limit and xxhash.xxh32_intdigest(f"{i} {merged}", key) < limit:
+            if self.skipped(i, merged, variant):
                 continue
             parts[i], parts[j] = merged, ""
             after[i] = after[j]
@@ -87,13 +125,10 @@ class Pieces:
         return [p for p in parts if p]
 
     def _part(self, part: str, variant: int) -> bytes:
-        out = []
-        for p in self.segment(part, variant):
-            if p in self.ids:
-                out.append(self.ids[p])
-            else:
-                out += [self.byte[b] for b in p.encode()]
-        return np.array(out, "<i4").tobytes()
+        out = [self.ids.get(p, p) for p in self.segment(part, variant)]
+        if not all(type(x) is int for x in out):
+            out = [y for x in out for y in ([x] if type(x) is int else [self.byte[b] for b in x.encode()])]
+        return struct.pack(f"<{len(out)}i", *out)
 
     def _word(self, word: str, variant: int) -> bytes:
         """Ids of a word from those of its parts, which are cut where no piece joins two characters."""
@@ -119,7 +154,7 @@ class Pieces:
         return self._chunks(" " + text, key)
 
     def _chunks(self, text: str, key: int) -> bytes:
-        words = _CHUNK.findall(text.replace(" ", _SPACE))
+        words = self.chunk.findall(text.replace(" ", _SPACE))
         out: list = [None] * len(words)
         for k in range(min(VARIANTS, len(words))):
             variant = (k + key) % VARIANTS

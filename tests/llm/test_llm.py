@@ -241,6 +241,14 @@ def test_pieces(docs):
     assert dropped.decode(np.frombuffer(dropped.encode("a▁b▁", 1), "<i4")) == "a▁b▁"
 
 
+def test_agendas_agree(docs, monkeypatch):
+    model = pieces.Pieces(pieces.default_model(), 0.3)
+    words = {w for r in docs.select("text").limit(60).collect() for w in model.chunk.findall("▁" + r[0].replace(" ", "▁"))} | {"▁" * 9, "aaaaaaaa", "x"}
+    short = [model.segment(w, v) for w in sorted(words) for v in range(pieces.VARIANTS)]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert short == [model.segment(w, v) for w in sorted(words) for v in range(pieces.VARIANTS)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

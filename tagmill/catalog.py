@@ -111,6 +111,10 @@ _add("zone_fields", lambda s, d: fields.zone_fields(fx.zone_texts(s, d)), ctes(
     r"CASE WHEN contains(compliance_text,'rohs') THEN 'RoHS' END) END AS marks, CASE WHEN contains(compliance_text,'12 M+') THEN '12M+' END AS age, concat('Gross ',split_part(split_part(identity_text,'Gross ',2),' ',1),' kg') AS gross, "
     r"regexp_extract(identity_text,'\d+x\d+ cm') AS dims, CASE WHEN label_id%4<3 THEN regexp_extract(date_text,'\d{4}') END AS stamp, CASE label_id%4 WHEN 0 THEN 0.88::DOUBLE WHEN 1 THEN 0.792::DOUBLE WHEN 2 THEN 0.616::DOUBLE END AS stamp_conf, "
     r"CASE label_id%4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS stamp_match FROM fx_zone_texts"))
+_add("net_weight", lambda s, d: fields.net_weights(
+    fx.labels(s, d).where("label_id%2=0").selectExpr("label_id", "inline(array(struct(0 word_idx,'Net 1 kg' text),struct(1 word_idx,concat('net ',label_id%50,' k') text),struct(2 word_idx,'Gross 9 kg' text)))"),
+    fx.labels(s, d).selectExpr("label_id", "case label_id%3 when 0 then concat('x Net ',label_id%50,'.5 kg') when 1 then concat('Net weight (',label_id%50,' lbs)') else 'Gross 9 kg' end text")), ctes(
+    "SELECT label_id, CASE WHEN label_id%2=0 THEN concat('net ',label_id%50,' k') WHEN label_id%3=0 THEN concat('Net ',label_id%50,'.5 kg') WHEN label_id%3=1 THEN concat('Net ',label_id%50,' lbs') END AS net_weight FROM fx_labels"))
 _add("name_tokens", lambda s, d: fx.words(s, d).where(fields.is_name_token(F.col("text"))).select("label_id", "word_idx", "text"), ctes(
     "SELECT label_id, word_idx, text FROM fx_words WHERE regexp_matches(regexp_replace(regexp_replace(text,'^[.,;:!?()]+',''),'[.,;:!?()]+$',''),'^[A-ZÅÄÖ]{2,}([-/][A-ZÅÄÖ]+)*$') AND NOT contains(text, chr(10)) AND "
     "regexp_replace(regexp_replace(text,'^[.,;:!?()]+',''),'[.,;:!?()]+$','') NOT IN (" + ",".join(f"'{w}'" for w in fields.STOP_WORDS) + ")"))

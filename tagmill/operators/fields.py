@@ -57,6 +57,18 @@ def gross_weight(text: Column) -> Column:
     return F.when(text.rlike(kg), F.concat(F.lit("Gross "), F.regexp_extract(text, kg, 1), F.lit(" kg")))
 
 
+#: The two forms of a net weight.
+NET_KG = r"(?i)\bNet\s+(\d+(?:\.\d+)?)\s*k(?:g)?\b"
+NET_LBS = r"(?i)\bNet[^)]{0,30}\(\s*(\d+(?:\.\d+)?)\s*(?:lbs?|Ibs?)\s*\)"
+
+
+def net_weights(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """label_id, net_weight of texts (label_id, text): the last word with a net weight, else the text's kilograms, else its pounds."""
+    last = words.where(F.col("text").rlike(NET_KG) | F.col("text").rlike(NET_LBS)).groupBy("label_id").agg(F.max_by("text", "word_idx").alias("word"))
+    rung = lambda p, unit: F.when(F.col("text").rlike(p), F.concat(F.lit("Net "), F.regexp_extract("text", p, 1), F.lit(unit)))
+    return texts.join(last, "label_id", "left").select("label_id", F.coalesce("word", rung(NET_KG, " kg"), rung(NET_LBS, " lbs")).alias("net_weight"))
+
+
 def dimensions(text: Column) -> Column:
     pattern = r"(?i)(\d{1,4}(?:\.\d+)?(?:\s*[x×]\s*\d{1,4}(?:\.\d+)?)+)\s*(cm|mm)\b"
     return F.when(text.rlike(pattern), F.concat_ws(" ", F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))

@@ -1,14 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merge-type (BPE) segmentation runs as an agenda of candidate merges, best score first, then leftmost. A candidate that
-comes up is skipped if a keyed hash of the seed, the variant, its place and the merged piece falls under the dropout rate;
-it may come up again only when a neighbouring merge makes it anew. With rate 0 the result is the library's own.
+comes up is skipped with the dropout rate; it may come up again only when a neighbouring merge makes it anew. Whether it is
+skipped is keyed by the seed, the document, the occurrence of the word in it and how many candidates came up in the word
+before, so each occurrence is segmented by itself and runs repeat exactly. With rate 0 the result is the library's own.
 
 No piece of the vocabularies used reaches over a word's beginning, so texts are cut there and each word is segmented by
-itself, without the signs that follow its letters where no piece joins them. Inside a word too, texts are cut wherever no piece holds the
-two characters side by side, since no merge can cross there. The
-segmentations of words and of their parts are cached, one for each of VARIANTS keys. The words of a document take their variants in
-turn from a start that its id decides, so the same word comes out differently in different places and runs repeat exactly.
+itself, without the signs that follow its letters where no piece joins them. An occurrence's skips are a number whose bit t
+stands for the candidate that comes up as the t-th. The result follows from the word and those bits that came up, so it is
+kept under both: keeping results saves work and changes none.
 
 Decoding joins pieces and bytes and is exact: characters without a piece become byte pieces, and so does the character
 that stands for a space inside pieces, if a text holds it.
@@ -23,6 +23,7 @@ import heapq
 import re
 import struct
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,27 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20
-VARIANTS = 2
-#: Words kept for each variant in a worker, about 225 MB.
-MOST_CACHED = 900_000
+#: Skip patterns on which the tests compare both agendas. Segmentation has no limit of this kind.
+VARIANTS = 64
+#: Results kept in a worker.
+MOST_CACHED = 1_200_000
+#: At most three candidates a character come up: words up to this length need 64 skips, longer ones draw more and aren't kept.
+WIDE = 22
 #: Longer words take a heap for their agenda, which does not grow with the square of their length.
 LONG = 48
 _NEVER = 1 << 30
-#: Odd numbers that spread a place and a key over 32 bits.
-_MIX_1, _MIX_2 = 0x9E3779B1, 0x85EBCA6B
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = "▁"
 _SIGNS = ".,;:!?"
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         import sentencepiece
@@ -58,44 +67,56 @@ class Pieces:
         self.raw = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() if p in self.ids else b"" for i, p in enumerate(names)]
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("a piece reaches over the beginning of a word")
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        signs = "".join(c for c in _SIGNS if not any(y == c and _LETTER.match(x) for x, y in self.joined))
+        joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        signs = "".join(c for c in _SIGNS if not any(y == c and _LETTER.match(x) for x, y in joined))
         #: Words without the signs that follow their letters: no piece joins these.
         self.chunk = re.compile((f"{_SPACE}*{_LETTER.pattern}++(?=[{signs}])|" if signs else "") + f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
         order = {x: k for k, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.rank = {p: order[x] for p, x in self.scores.items()}  # the lowest merges first
         self.limit, self.seed = int(rate * (1 << 32)), seed
-        #: The keyed hash of every piece, for each variant; the place is mixed in when a candidate comes up.
-        self.keys = [{p: xxhash.xxh32_intdigest(p, seed * VARIANTS + v) for p in self.ids} for v in range(VARIANTS)]
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def skipped(self, place: int, merged: str, variant: int) -> bool:
-        """Whether the dropout skips the candidate that makes merged at a place."""
-        return ((self.keys[variant][merged] ^ place * _MIX_1) * _MIX_2 & 0xFFFFFFFF) < self.limit
-
-    def segment(self, word: str, variant: int) -> list[str]:
-        """Pieces of one word by the agenda: a plain list of the neighbours' ranks, or a heap for long words."""
+        #: (ids, bits that came up) by word where none of these is skipped, else by word and skips.
+        self.cache: dict[str | tuple[str, int], tuple[bytes, int]] = {}
+
+    def draws(self, key: int, first: int, n: int, part: int = 0) -> np.ndarray:
+        """64 skips for each of n occurrences from the first on; each bit is set with the rate, to 32 binary places."""
+        if self.limit >> 32 or not self.limit:
+            return np.full(n, -(self.limit >> 32) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        own = xxhash.xxh64_intdigest(struct.pack("<QQ", key & 0xFFFFFFFFFFFFFFFF, part), self.seed)
+        base = _mix(np.arange(first, first + n, dtype=np.uint64) * _GOLDEN + np.uint64(own))
+        places = range((self.limit & -self.limit).bit_length() - 1, 32)
+        random = _mix(base + np.arange(places.start + 1, 33, dtype=np.uint64)[:, None] * _GOLDEN)
+        out = np.zeros(n, np.uint64)
+        for k, row in zip(places, random, strict=True):  # from the last binary place of the rate to the first
+            out = out | row if self.limit >> k & 1 else out & row
+        return out
+
+    def segment(self, word: str, skips: int) -> list[str]:
+        """Pieces of one word by the agenda; bit t of skips skips the candidate that comes up as the t-th."""
+        return self._agenda(word, skips)[0]
+
+    def _agenda(self, word: str, skips: int) -> tuple[list[str], int]:
+        """Pieces and how many candidates came up: a plain list of the neighbours' ranks, or a heap for long words."""
         if len(word) > LONG:
-            return self._segment_long(word, variant)
-        parts, rank, keys, limit = list(word), self.rank, self.keys[variant], self.limit
-        places = list(range(len(parts)))
+            return self._agenda_long(word, skips)
+        parts, rank, n = list(word), self.rank, 0
         agenda = [rank.get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
         while agenda and (best := min(agenda)) != _NEVER:
             k = agenda.index(best)  # the leftmost of equals
-            merged = parts[k] + parts[k + 1]
-            if ((keys[merged] ^ places[k] * _MIX_1) * _MIX_2 & 0xFFFFFFFF) < limit:  # as in skipped(), without a call
+            n += 1
+            if skips >> (n - 1) & 1:
                 agenda[k] = _NEVER
                 continue
-            parts[k] = merged
-            del parts[k + 1], places[k + 1], agenda[k]
+            parts[k] = merged = parts[k] + parts[k + 1]
+            del parts[k + 1], agenda[k]
             if k < len(agenda):
                 agenda[k] = rank.get(merged + parts[k + 1], _NEVER)
             if k:
                 agenda[k - 1] = rank.get(parts[k - 1] + merged, _NEVER)
-        return parts
+        return parts, n
 
-    def _segment_long(self, word: str, variant: int) -> list[str]:
-        parts, rank, limit = list(word), self.rank, self.limit
+    def _agenda_long(self, word: str, skips: int) -> tuple[list[str], int]:
+        parts, rank, came = list(word), self.rank, 0
+        bits = bin(skips)[:1:-1]  # the first candidate's first
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, str]] = []
@@ -113,7 +134,8 @@ class Pieces:
             _, i, j, merged = heapq.heappop(agenda)
             if not parts[i] or j >= n or after[i] != j or parts[i] + parts[j] != merged:
                 continue  # one of its sides has been merged meanwhile
-            if self.skipped(i, merged, variant):
+            came += 1
+            if bits[came - 1 : came] == "1":
                 continue
             parts[i], parts[j] = merged, ""
             after[i] = after[j]
@@ -122,52 +144,53 @@ class Pieces:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [p for p in parts if p]
+        return [p for p in parts if p], came
 
-    def _part(self, part: str, variant: int) -> bytes:
-        out = [self.ids.get(p, p) for p in self.segment(part, variant)]
+    def _ids(self, pieces: list[str]) -> bytes:
+        out = [self.ids.get(p, p) for p in pieces]
         if not all(type(x) is int for x in out):
             out = [y for x in out for y in ([x] if type(x) is int else [self.byte[b] for b in x.encode()])]
         return struct.pack(f"<{len(out)}i", *out)
 
-    def _word(self, word: str, variant: int) -> bytes:
-        """Ids of a word from those of its parts, which are cut where no piece joins two characters."""
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined]
-        if not cuts:
-            return self._part(word, variant)
-        cache, out = self.cache[variant], []
-        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            part = word[a:b]
-            if part not in cache:
-                cache[part] = self._part(part, variant)
-            out.append(cache[part])
-        return b"".join(out)
+    def _word(self, word: str, skips: int, key: int, at: int) -> bytes:
+        """Ids of the word that is occurrence `at` of a document, with its first 64 skips."""
+        if len(word) > WIDE:
+            for part in range(1, -(-3 * len(word) // 64)):
+                skips |= int(self.draws(key, at, 1, part)[0]) << 64 * part
+            return self._ids(self._agenda(word, skips)[0])
+        cache, used = self.cache, 0
+        node = cache.get(word)
+        while node is not None:
+            more = (skips & node[1]) ^ used
+            if not more:
+                return node[0]
+            used |= more & -more
+            node = cache.get((word, used))
+        pieces, n = self._agenda(word, skips)
+        bits = (1 << n) - 1
+        if len(cache) > MOST_CACHED:
+            cache.clear()
+        out = self._ids(pieces)
+        cache[(word, skips & bits) if skips & bits else word] = out, bits
+        return out
 
     def encode(self, text: str | None, key: int) -> bytes:
-        """Ids of a whole text, 32 bits little-endian each; key gives the variant of the first word."""
+        """Ids of a whole text, 32 bits little-endian each; key is the document's."""
         if not text:
             return b""
         if _SPACE in text:  # that character itself: three byte pieces between its neighbours
             mark = np.array([self.byte[b] for b in _SPACE.encode()], "<i4").tobytes()
             head, *rest = text.split(_SPACE)
-            return b"".join([self._chunks(" " + head, key), *(mark + self._chunks(x, key) for x in rest)])
-        return self._chunks(" " + text, key)
-
-    def _chunks(self, text: str, key: int) -> bytes:
-        words = self.chunk.findall(text.replace(" ", _SPACE))
-        out: list = [None] * len(words)
-        for k in range(min(VARIANTS, len(words))):
-            variant = (k + key) % VARIANTS
-            cache, own = self.cache[variant], words[k::VARIANTS]
-            try:
-                out[k::VARIANTS] = map(cache.__getitem__, own)
-            except KeyError:
-                if len(cache) > MOST_CACHED:
-                    cache.clear()
-                for w in own:
-                    if w not in cache:
-                        cache[w] = self._word(w, variant)
-                out[k::VARIANTS] = map(cache.__getitem__, own)
+            chunks = [self.chunk.findall(x.replace(" ", _SPACE)) for x in (" " + head, *rest)]
+            firsts = accumulate(map(len, chunks), initial=0)
+            return mark.join(self._chunks(words, key, first) for words, first in zip(chunks, firsts, strict=False))
+        return self._chunks(self.chunk.findall((" " + text).replace(" ", _SPACE)), key, 0)
+
+    def _chunks(self, words: list[str], key: int, first: int) -> bytes:
+        out, get = [], self.cache.get
+        for at, (word, skips) in enumerate(zip(words, self.draws(key, first, len(words)).tolist(), strict=True), first):
+            node = get(word)
+            out.append(node[0] if node is not None and not skips & node[1] else self._word(word, skips, key, at))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -249,6 +249,20 @@ def test_agendas_agree(docs, monkeypatch):
     assert short == [model.segment(w, v) for w in sorted(words) for v in range(pieces.VARIANTS)]
 
 
+def test_dropout_varies():
+    model = pieces.Pieces(pieces.default_model(), 0.1)
+    word = "language "
+    seen = collections.Counter(model.encode(word, k) for k in range(2000))
+    assert len(seen) > 8  # in different documents
+    one, many = model.encode(word[:-1], 7), model.encode(word * 2000, 7)
+    assert len(set("".join(model.raw[i].decode() + "|" for i in np.frombuffer(many, "<i4")).split(" "))) > 8  # and in one
+    assert many.startswith(one) and many == pieces.Pieces(pieces.default_model(), 0.1).encode(word * 2000, 7)  # whatever is kept from before
+    n = len(np.frombuffer(model.encode("a " * 20_000, 3), "<i4"))  # the one candidate of each word comes up once
+    assert abs((n - 20_001) / 20_000 - 0.1) < 0.01
+    assert len({model.encode("x" * 300, k) for k in range(20)}) == 20
+    assert all(model.encode(w, 1) for w in ("▁", "▁▁a b▁"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

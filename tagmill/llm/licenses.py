@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COVERAGE = 0.8
+#: Of a template's words.
+PERCENT = 80
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 TEMPLATES = {
@@ -95,21 +96,21 @@ _TEMPLATE_WORDS = {k: words(v) for k, v in TEMPLATES.items()}
 _TEMPLATE_SETS = {k: set(v) for k, v in _TEMPLATE_WORDS.items()}
 
 
-def find_licenses(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+def find_licenses(text: str | None, percent: int = PERCENT) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, end word) for each stretch of the whole text that covers a template."""
     found = words(text)
     own = set(found)
     out = []
     for name, template in _TEMPLATE_WORDS.items():
         n, distinct = len(template), _TEMPLATE_SETS[name]
-        if len(distinct & own) < len(distinct) - (1 - coverage) * n:
+        allowed = n * (100 - percent) // 100  # words that may be missing
+        if len(distinct & own) < len(distinct) - allowed:
             continue
         places: dict[str, list[int]] = {w: [] for w in distinct}
         for k, w in enumerate(found):
             if w in distinct:
                 places[w].append(k)
         # more words than coverage allows to miss, the rarest in the text: a covered stretch holds one of them
-        allowed = int((1 - coverage) * n)
         rare, missing = sorted(distinct, key=lambda w: (len(places[w]), w)), 0
         starts: list[int] = []
         for w in rare:
@@ -121,7 +122,7 @@ def find_licenses(text: str | None, coverage: float = COVERAGE) -> list[tuple[st
         for k in sorted(set(starts)):
             a, b = max(0, k - reach), min(len(found), k + reach + 1)
             pairs = align(found[a:b], template)
-            if len(pairs) >= coverage * n:
+            if len(pairs) >= n - allowed:
                 hits.append((-len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1))
         taken: list[tuple[int, int]] = []
         for share, a, b in sorted(hits):

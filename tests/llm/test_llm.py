@@ -122,6 +122,18 @@ def test_patience_alignment():
     assert len(licenses.find_licenses("the foo. Licensed under the Apache License, Version 2.0. more license text " * 3)) == 3
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_licenses_with_changed_words(name):
+    template = licenses.words(licenses.TEMPLATES[name])
+    allowed = len(template) // 5
+    for k in range(len(template)):
+        changed = [f"changed{i}" if i == k else w for i, w in enumerate(template)]
+        assert name in [x[0] for x in licenses.find_licenses("w " * 30 + " ".join(changed) + " w" * 30)], k
+    for most in (allowed, allowed + 1):  # from the beginning
+        changed = [f"changed{i}" if i < most else w for i, w in enumerate(template)]
+        assert (name in [x[0] for x in licenses.find_licenses("w " * 30 + " ".join(changed) + " w" * 30)]) == (most == allowed)
+
+
 def test_decontamination(spark, docs, benchmark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -17,7 +17,8 @@
 Confirmation compares the sets of word shingles themselves, in integers: 100 * common >= percent * all.
 
 Defined cases: null texts and texts without words have no shingles and stand alone, also if equal; texts of fewer words
-than a shingle are one shingle; repeated rows fall together; empty tables give empty results; columns other than doc_id
+than a shingle are one shingle; repeated rows fall together; a null doc_id comes after all others, and a group that has no
+other has a null component_id and keeps one row; a doc_id with several texts counts for each of them by itself; empty tables give empty results; columns other than doc_id
 and text are carried only by kept().
 """
 
@@ -313,32 +314,45 @@ def _block_links(members: DataFrame, texts: DataFrame, words: int, percent: int)
     return held.select("cluster", "x", "y", "key", "root", "text").groupBy("cluster", "x", "y").applyInArrow(_compare_blocks(words, percent), "a binary, b binary")
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of its group), kept. A row per document."""
+def _decided(docs: DataFrame, words: int, percent: int, places: int = PLACES, rows: int = ROWS) -> DataFrame:
+    """doc_id, key (null without words), n, component_id, kept. A row per document.
+
+    The kept rows of a group have its smallest doc_id and one text: of two texts with that doc_id the one of the smaller key.
+    """
     docs = docs.select("doc_id", "text")
     key = F.unhex(F.md5("text"))
     signed = docs.select("doc_id", key.alias("key"), _signer(words, places, rows)("text").alias("s"))
     signed = saved(signed.select("doc_id", F.when(F.col("s.n") > 0, F.col("key")).alias("key"), F.col("s.n").alias("n"), F.col("s.bands").alias("bands")), "signed")
     firsts = saved(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    nodes = signed.join(firsts, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "n", "bands")
-    texts = docs.select("doc_id", key.alias("key"), "text").join(firsts, ["key", "doc_id"]).dropDuplicates(["key"]).select("key", "text")
+    own = firsts.select(F.col("key").alias("first_key"), F.col("doc_id").alias("first_id"))
+    first = lambda x: x.join(own, F.expr("key = first_key and doc_id <=> first_id"), "left_semi").dropDuplicates(["key"])
+    nodes = first(signed).select("key", "n", "bands")
+    texts = first(docs.select("doc_id", key.alias("key"), "text")).select("key", "text")
     links = _links(nodes, texts, words, percent)
-    owner = firsts.select("key", F.col("doc_id").alias("component_id"))
+    owner = firsts.select("key", F.col("doc_id").alias("component_id"), F.col("key").alias("owner_key"))
     if links is not None:
         roots = components(links)
-        ids = roots.join(firsts, roots["node"] == firsts["key"]).groupBy("root").agg(F.min("doc_id").alias("smallest"))
-        better = roots.join(ids, "root").select(F.col("node").alias("key"), "smallest")
-        owner = owner.join(better, "key", "left").select("key", F.coalesce("smallest", "component_id").alias("component_id"))
-    out = signed.drop("bands").join(owner, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("s")  # null ids last
+        ids = roots.join(firsts, roots["node"] == firsts["key"]).groupBy("root").agg(smallest)
+        better = roots.join(ids, "root").select(F.col("node").alias("key"), F.col("s.doc_id").alias("smallest"), F.col("s.key").alias("smallest_key"))
+        owner = owner.join(better, "key", "left").select("key", F.coalesce("smallest", "component_id").alias("component_id"), F.coalesce("smallest_key", "owner_key").alias("owner_key"))
+    out = signed.drop("bands").join(owner, "key", "left")
+    kept = F.expr("key is null or (key = owner_key and doc_id <=> component_id)")
+    return out.select("doc_id", "key", "n", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
+
+
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of its group), kept. A row per document."""
+    return _decided(docs, words, percent, places, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def kept(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row for each group: the first of the smallest doc_id. Documents without words all stay."""
-    decided = groups(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    dropped = _decided(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     same = Window.partitionBy("doc_id", F.md5("text")).orderBy(F.lit(0))
-    stay = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return stay.withColumn("_copy", F.row_number().over(same)).where((F.col("_copy") == 1) | F.col("text").isNull()).drop("_copy")
+    stay = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_key")), "left_anti")
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return stay.withColumn("_copy", F.row_number().over(same)).where((F.col("_copy") == 1) | empty).drop("_copy")
 
 
 def neardup_query(docs: DataFrame) -> DataFrame:

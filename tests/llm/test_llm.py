@@ -229,6 +229,27 @@ def test_near_duplicates(spark, docs, monkeypatch):
         assert got == want
 
 
+def test_kept_with_odd_rows(spark, odd):
+    stay = sorted(str((r["doc_id"], r["text"])) for r in neardup.kept(odd).collect())
+    assert stay == sorted(str(x) for x in [*ODD[:3], *ODD[4:9], ODD[10]])  # the second (3, "a") and 8, a copy of 7, go
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*base[:-1], "v"]), " ".join(f"u{k}" for k in range(60))
+    base = " ".join(base)
+    cases = [
+        ([(None, base), (None, near), (None, None), (None, None), (None, " "), (None, other)], 5),  # null ids: a copy goes
+        ([(None, base), (4, near)], 1),
+        ([(1, base), (1, near), (2, other)], 2),  # one id, two texts that are near copies
+        ([(1, base), (2, near), (2, other)], 2),  # one id, of two texts one is another's copy
+        ([(1, base), (1, other)], 2),
+        ([(1, " "), (1, " ")], 2),
+    ]
+    for rows, n in cases:
+        got = [tuple(r) for r in neardup.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert len(got) == n and set(got) <= set(rows), rows
+        assert sum(x[1] in (base, near) for x in got) == any(x[1] in (base, near) for x in rows), rows
+    assert {tuple(r) for r in neardup.kept(spark.createDataFrame(cases[1][0], "doc_id long, text string")).collect()} == {(4, near)}
+
+
 def test_super_min_hash_estimates():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)

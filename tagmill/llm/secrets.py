@@ -3,7 +3,8 @@
 Base patterns (assignments, access keys, long hex) are reported as they match. Encoded candidates are reported only
 after their structure is confirmed: base64 or hex is decoded and must parse as a private key encoding whose nested
 lengths fit exactly (DER, OpenSSH), and a signed token needs a JSON header that names an algorithm, a JSON payload and
-a signature of a length that the algorithm allows.
+a signature of a length that the algorithm allows. Candidates span real and escaped line breaks, as in wrapped keys and
+in keys inside JSON or source strings, and end with any of their lines.
 
 Defined cases: a null or empty text has no spans; offsets count code points, end exclusive; equal rows give equal
 results; spans of one kind never overlap; an incoming column named like the output is replaced.
@@ -15,23 +16,29 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: In the order by which spans with the same start are listed; the first three are the base kinds.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "ssh64", "derhex")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "ssh64", "derhex", "sshhex")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: A DER sequence begins with MA to MI in base64, by its length byte; an OpenSSH key with its magic word.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-I]|b3BlbnNza)[A-Za-z0-9+/]{38,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
+#: Between the lines of a candidate: real line breaks with the blanks around them, or escaped ones of a string.
+_BREAK = r"(?:\\+r)?(?:\\+n)|[\x20\t]*(?:\r\n?|\n)[\x20\t]*"
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+#: How keys begin: a DER sequence with MA to MI in base64, by its length byte; an OpenSSH key with its magic word. An escape may precede.
+_HEAD_64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-I]|b3BlbnNza)(?:[A-Za-z0-9+/]|\\+/){14}")
+_HEAD_HEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\[nrt]))(?:30|6[Ff]70656[Ee]737368)[0-9A-Fa-f]{14}")
+_BODY_64 = re.compile(rf"(?:[A-Za-z0-9+/]|\\+/)+(?:(?:{_BREAK})(?:[A-Za-z0-9+/]|\\+/)+)*+={{0,2}}")
+_BODY_HEX = re.compile(rf"[0-9A-Fa-f]+(?:(?:{_BREAK})[0-9A-Fa-f]+)*+")
+_ESCAPE = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
 _SIGNATURE_BYTES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EDDSA": (64, 114)}
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -85,10 +92,18 @@ def der_key(data: bytes) -> str | None:
     return None
 
 
-def openssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key whose nested length fields fill it exactly."""
+def der_size(data: bytes) -> int:
+    """How many bytes the DER sequence that data begins with takes by its length field; 0 if it can't be a key."""
+    if len(data) < 7 or data[0] != 0x30 or data[1] == 0x80 or data[1] > 0x84:
+        return 0
+    n = max(0, data[1] - 0x80)
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1]) if data[2 + n] in (2, 0x30) else 0
+
+
+def openssh_size(data: bytes) -> int:
+    """How many bytes the OpenSSH private key that data begins with takes by its nested length fields; 0 if it is none."""
     if not data.startswith(_OPENSSH):
-        return False
+        return 0
     at = len(_OPENSSH)
 
     def field(at: int) -> int | None:
@@ -100,16 +115,34 @@ def openssh_key(data: bytes) -> bool:
     for _ in range(3):
         at = field(at)
         if at is None:
-            return False
+            return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return 0
     for _ in range(keys + 1):
         at = field(at)
         if at is None:
-            return False
-    return at == len(data)
+            return 0
+    return at
+
+
+def openssh_key(data: bytes) -> bool:
+    """Whether data is an OpenSSH private key whose nested length fields fill it exactly."""
+    return len(data) > 0 and openssh_size(data) == len(data)
+
+
+def _lines(text: str) -> tuple[str, dict[int, int]]:
+    """The text without breaks and escapes, and for each length at which one of its lines ends there, the length in the text."""
+    parts, ends, at, n = [], {}, 0, 0
+    for m in _ESCAPE.finditer(text):
+        parts.append(text[at : m.start()])
+        n += m.start() - at
+        if m[0].strip("\\"):  # a break, not the escape of a slash
+            ends[n] = m.start()
+        at = m.end()
+    clean = "".join([*parts, text[at:]])
+    return clean.rstrip("="), ends | {len(clean.rstrip("=")): len(text)}
 
 
 def _decoded(text: str, url: bool = False) -> bytes | None:
@@ -145,6 +178,27 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     return len(raw) in _SIGNATURE_BYTES[algorithm] if algorithm in _SIGNATURE_BYTES else len(raw) >= 128
 
 
+def _unhexed(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
+def _keys(text: str, head: re.Pattern, body: re.Pattern, decode: Callable[[str], bytes | None], bits: int, kinds: tuple[str, str]) -> list[tuple[str, int, int]]:
+    """Spans of the encoded keys that end with a line or with the candidate, `bits` to a character."""
+    found, reach = [], 0
+    for m in head.finditer(text):
+        start = decode(_ESCAPE.sub("", m[0]))
+        if m.start() < reach or not start or not (der_size(start) or _OPENSSH.startswith(start[:8])):
+            continue
+        clean, ends = _lines(body.match(text, m.start())[0])
+        raw = decode(clean[: len(clean) - (len(clean) * bits % 8 >= bits)]) or b""
+        size = der_size(raw) or openssh_size(raw)
+        end = ends.get(-(-8 * size // bits))
+        if size and end and len(raw) >= size and (size == openssh_size(raw) or der_key(raw[:size])):
+            reach = m.start() + end
+            found.append((kinds[raw.startswith(_OPENSSH)], m.start(), reach))
+    return found
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets in a whole text, by start and then by the order of KINDS."""
     if not text:
@@ -161,21 +215,13 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     pem = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            raw = _decoded("".join(m[2].split()))
+            raw = _decoded(_ESCAPE.sub("", m[2]))
             if raw and (der_key(raw) or openssh_key(raw)):
                 pem.append((m.start(), m.end()))
         found += [("pem", a, b) for a, b in pem]
-    for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in pem):
-            raw = _decoded(m[0])
-            if raw and der_key(raw):
-                found.append(("der64", m.start(), m.end()))
-            elif raw and openssh_key(raw):
-                found.append(("ssh64", m.start(), m.end()))
-    if "30" in text:
-        for m in _HEX_ANY.finditer(text):
-            if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
-                found.append(("derhex", m.start(), m.end()))
+    found += [x for x in _keys(text, _HEAD_64, _BODY_64, _decoded, 6, ("der64", "ssh64")) if not any(a <= x[1] < b for a, b in pem)]
+    if "30" in text or "6f70656e737368" in low:
+        found += _keys(text, _HEAD_HEX, _BODY_HEX, _unhexed, 4, ("derhex", "sshhex"))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -83,6 +83,29 @@ def test_secret_structure():
     assert secrets.redacted(f"a {token} b") == "a [SECRET] b"
 
 
+def test_secret_forms():
+    key = der(0x30, der(2, b"\0"), *(der(2, bytes([7 + n % 5]) * n) for n in (64, 3, 64, 32, 32, 32, 32, 32)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"k" * 130)
+    kinds = lambda t: [k for k, *_ in secrets.find_secrets(t) if k != "hex"]
+    for data, name, by_hex in ((key, "der64", "derhex"), (ssh, "ssh64", "sshhex")):
+        plain = base64.b64encode(data).decode()
+        for each in (64, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
+                wrap = lambda x: end.join(x[i : i + each] for i in range(0, len(x), each))  # noqa: B023, E731
+                pem = f"-----BEGIN PRIVATE KEY-----{end}{wrap(plain)}{end}-----END PRIVATE KEY-----{end}"
+                assert kinds(f'{{"private_key": "{pem}"}}') == ["pem"], (name, each, end)
+                for body, kind in ((plain, name), (data.hex(), by_hex), (data.hex().upper(), by_hex)):
+                    for after in ("", end + "and more words"):
+                        text = "key:" + end + wrap(body) + after
+                        assert kinds(text) == [kind], (kind, each, end, after)
+                        assert body[-20:] not in secrets.redacted(text)
+        assert kinds(f"x {data.hex()} y") == [by_hex]
+        assert kinds(plain.replace("/", "\\/")) == [name]
+        assert kinds("\n".join((plain[:64], plain[64:-8]))) == []
+        assert kinds(f"MAINxxxxxxxxxxxxxxxxxxxx\n{plain}\n{plain}") == [name] * 2  # a candidate that fails hides no key
+
+
 def test_tokens(docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,7 +2,7 @@
 
 Companded samples are expanded by 256-entry lookup tables; ADPCM blocks are decoded in step across all blocks of a batch,
 so the sequential recurrence runs once per sample place, not once per sample. The coded bytes themselves are what a file
-stores, so storing is lossless; the PCM is derived from what is read back.
+stores, so storing is lossless; the PCM is derived from what is read back, and stored and read back itself.
 
 Defined cases: a null text is an empty one and makes one block of padding; equal payloads give equal files; payloads whose
 length is no multiple of a block decode without the rest; other columns are ignored.
@@ -132,7 +132,7 @@ def _store(texts: pa.Array) -> pa.Array:
     return pa.array(rows, _STORED)
 
 
-_HEARD = pa.struct([("codec", pa.string()), ("payload", pa.binary()), ("pcm", pa.binary()), ("peak", pa.int32()), ("mean_square", pa.int64()), ("crossings", pa.int64())])
+_HEARD = pa.struct([("codec", pa.string()), ("payload", pa.binary()), ("pcm", pa.binary())])
 
 
 def _hear(media: pa.Array) -> pa.Array:
@@ -145,13 +145,23 @@ def _hear(media: pa.Array) -> pa.Array:
             payloads.append(payload)
             size, i = size + len(payload), i + 1
         for codec, payload, pcm in zip(codecs, payloads, expand(payloads, codecs), strict=True):
-            wide = pcm.astype(np.int64)
-            n = max(1, len(pcm))
-            crossings = int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())
-            rows.append({"codec": NAMES[codec], "payload": payload, "pcm": resample(pcm).astype("<i2").tobytes(), "peak": int(np.abs(wide).max(initial=0)), "mean_square": int((wide * wide).sum()) // n, "crossings": crossings})
+            rows.append({"codec": NAMES[codec], "payload": payload, "pcm": resample(pcm).astype("<i2").tobytes()})
     return pa.array(rows, _HEARD)
 
 
+_MEASURED = pa.struct([("peak", pa.int32()), ("mean_square", pa.int64()), ("crossings", pa.int64())])
+
+
+def _measure(pcm: pa.Array) -> pa.Array:
+    rows = []
+    for x in pcm:
+        own = np.frombuffer(x.as_buffer(), "<i2")[::2]  # the samples at 8 kHz
+        wide = own.astype(np.int64)
+        crossings = int(((own[1:] < 0) != (own[:-1] < 0)).sum())
+        rows.append({"peak": int(np.abs(wide).max(initial=0)), "mean_square": int((wide * wide).sum()) // max(1, len(own)), "crossings": crossings})
+    return pa.array(rows, _MEASURED)
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a WAVE file whose codec its payload decides."""
     docs = docs.select("doc_id", F.arrow_udf(_store, "struct<n_bytes:bigint,media:binary>")("text").alias("m"))
@@ -159,17 +169,27 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def heard(media: DataFrame) -> DataFrame:
-    """media with codec, payload, 16 kHz PCM and its features, from the stored bytes."""
-    kind = "struct<codec:string,payload:binary,pcm:binary,peak:int,mean_square:bigint,crossings:bigint>"
-    return media.withColumn("h", F.arrow_udf(_hear, kind)("media")).select(*media.columns, "h.*")
+    """media with codec, payload and 16 kHz PCM, from the stored bytes."""
+    return media.withColumn("h", F.arrow_udf(_hear, "struct<codec:string,payload:binary,pcm:binary>")("media")).select(*media.columns, "h.*")
 
 
-def telephony_query(docs: DataFrame) -> DataFrame:
-    """Digests of the stored files, read back from the shared folder, and of their PCM."""
-    read = heard(saved(stored(docs.select("doc_id", "text")), "media"))
-    feature = F.concat_ws(":", "codec", F.octet_length("pcm"), F.crc32("pcm"), "peak", "mean_square", "crossings")
+def measured(pcm: DataFrame) -> DataFrame:
+    """pcm with the peak, mean square and sign changes of its samples at 8 kHz."""
+    return pcm.withColumn("f", F.arrow_udf(_measure, "struct<peak:int,mean_square:bigint,crossings:bigint>")("pcm")).select(*pcm.columns, "f.*")
+
+
+def resampled(docs: DataFrame) -> DataFrame:
+    """doc_id, digests of the stored files, codec and 16 kHz PCM: files and PCM are tables of the shared folder, read back from there."""
     tail = F.expr("substring(payload, -16, 16)")
-    return read.select(
+    pcm = heard(saved(stored(docs), "media")).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
     )
+    return saved(pcm, "pcm")
+
+
+def telephony_query(docs: DataFrame) -> DataFrame:
+    """Digests of the stored files and features of the stored PCM, both read back from the shared folder."""
+    feature = F.concat_ws(":", "codec", F.octet_length("pcm"), F.crc32("pcm"), "peak", "mean_square", "crossings")
+    read = measured(resampled(docs.select("doc_id", "text")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import decontaminate, langid, licenses, neardup, pieces, quality, queries, secrets, sharding, telephony, tokens
+from tagmill.llm import common, decontaminate, langid, licenses, neardup, pieces, quality, queries, secrets, sharding, telephony, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, `_row` int"
@@ -216,6 +216,21 @@ def test_telephony(docs):
         assert len(payload) % 192 == 0 and telephony.read_wave(telephony.wave_file(payload, telephony.IMA)) == (telephony.IMA, payload)
 
 
+def test_telephony_stores_pcm(spark, docs, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(telephony, "saved", lambda df, name: tables.setdefault(name, common.saved(df, name)))
+    got = {r["doc_id"]: r["feature"] for r in telephony.telephony_query(docs).collect()}
+    media = {r["doc_id"]: telephony.read_wave(r["media"]) for r in tables["media"].collect()}
+    assert tables["pcm"].count() == len(got)
+    for r in tables["pcm"].collect():
+        codec, payload = media[r["doc_id"]]
+        own = telephony.expand([payload], [codec])[0]
+        assert r["pcm"] == telephony.resample(own).astype("<i2").tobytes()
+        wide = [int(x) for x in own]
+        measured = (max(map(abs, wide)), sum(x * x for x in wide) // len(wide), sum((x < 0) != (y < 0) for x, y in zip(wide, wide[1:], strict=False)))
+        assert got[r["doc_id"]] == ":".join(map(str, (telephony.NAMES[codec], len(r["pcm"]), zlib.crc32(r["pcm"]), *measured)))
+
+
 def brute_components(rows, words):
     sets = {d: neardup.shingles(t, words) for d, t in rows}
     low = {d: d for d in sets}

@@ -125,7 +125,7 @@ def check_digit_ok(code: Column) -> Column:
 
 
 def zone_fields(texts: DataFrame) -> DataFrame:
-    """All fields of a label's zone texts in one projection."""
+    """The fields of a label's zone texts that this module builds, in one projection; README.md names those that are missing."""
     c = F.col
     stamp = date_stamp(c("date_text"), F.lit(0.88))
     return texts.select(

@@ -1,7 +1,8 @@
 """Token ids in succinct files: a wavelet matrix for each shard.
 
 A shard holds the ids of consecutive documents, each closed by an end id. Its file keeps one bit plane for each bit of the
-ids, from the highest, with counts of ones before every 512 bits, and the documents' starts, compressed with zstd. After
+ids, from the highest, and the documents' ids and counts, compressed whole with zstd. The counts of ones before every 512
+bits are not in the file: a reader decompresses the shard and makes them for a plane when it first needs them. After
 each plane the ids are parted stably by their bit, so rank and select on the planes give the id at a place, the count of an
 id in a range and the place of its k-th occurrence, without the ids themselves.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 _own_folder: list[str] = []
+#: Of this process's tables in the shared folder.
+_SESSION = uuid.uuid4().hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,29 +25,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """This session's folder in the one that driver and executors share, spark.checkpoint.dir; on one machine a temporary one will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tagmill-"))
         root = "file://" + _own_folder[0]
-    return f"{root.rstrip('/')}/tagmill"
+    return f"{root.rstrip('/')}/tagmill/{_SESSION}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "zstd", **options: str | int) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: it cuts the lineage and survives lost executors.
 
     The write goes through Spark's committer, so repeated or speculative tasks leave one copy. The table stays until
-    release() is called, because the returned frame reads it lazily.
+    release() is called, because the returned frame reads it lazily. options are the Parquet writer's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer thinks that df takes, in bytes: the files' sizes where it reads files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def release(spark: SparkSession) -> None:
-    """Delete every table that saved() wrote; frames that read them are void afterwards."""
+    """Delete every table that saved() wrote in this session; frames that read them are void afterwards."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -72,6 +82,14 @@ def runs(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def lower_az(text: Column) -> Column:
     """A-Z in lower case and nothing else; lower() would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,21 +4,27 @@ Companded samples are expanded by 256-entry lookup tables; ADPCM blocks are deco
 so the sequential recurrence runs once per sample place, not once per sample. The coded bytes themselves are what a file
 stores, so storing is lossless; the PCM is derived from what is read back, and stored and read back itself.
 
+PCM is stored losslessly by prediction: the samples at even places, and for those at odd places what the mean of their
+neighbours leaves, which is left out where all of it is 0. Any 16 bit PCM can be stored so. Rows are written by codec, so
+that a compressed page holds one kind of sound.
+
 Defined cases: a null text is an empty one and makes one block of padding; equal payloads give equal files; payloads whose
 length is no multiple of a block decode without the rest; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import saved
+from tagmill.llm.common import runs, saved, utf8
 
 BLOCK = 192
 RATE = 8_000
@@ -76,17 +82,18 @@ def wave_file(payload: bytes, codec: int) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body + b"\0" * (len(payload) & 1)
 
 
-def read_wave(media: bytes) -> tuple[int, bytes]:
+def read_wave(media: bytes | pa.Buffer) -> tuple[int, bytes]:
     """(format tag, data) of a WAVE file."""
+    media = memoryview(media)
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("no WAVE file")
     at, codec = 12, 0
     while at + 8 <= len(media):
-        name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+        name, size = bytes(media[at : at + 4]), int.from_bytes(media[at + 4 : at + 8], "little")
         if name == b"fmt ":
             codec = int.from_bytes(media[at + 8 : at + 10], "little")
         if name == b"data":
-            return codec, media[at + 8 : at + 8 + size]
+            return codec, bytes(media[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     raise ValueError("no data")
 
@@ -111,85 +118,121 @@ def expand(payloads: list[bytes], codecs: list[int]) -> list[np.ndarray]:
     return out
 
 
+def _predicted(even: np.ndarray, n: int) -> np.ndarray:
+    """What is expected at the odd places of n samples: the means of the even neighbours (the last is held)."""
+    after = np.append(even[1:], even[-1:])[: n // 2]
+    return ((even[: n // 2].astype(np.int32) + after) >> 1).astype(np.int16)
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: samples and the means of neighbours between them (the last is held)."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
-    if len(pcm):
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        out[-1] = pcm[-1]
+    out[1::2] = _predicted(out[::2], len(out))
     return out
 
 
-_STORED = pa.struct([("n_bytes", pa.int64()), ("media", pa.binary())])
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """16 bit PCM as bytes: how many samples, those at even places, and the odd ones' differences from the prediction, if any."""
+    even = pcm[::2]
+    rest = pcm[1::2] - _predicted(even, len(pcm))  # modulo 2**16, as it is added back
+    return struct.pack("<I", len(pcm)) + even.astype("<i2").tobytes() + (rest.astype("<i2").tobytes() if rest.any() else b"")
 
 
-def _store(texts: pa.Array) -> pa.Array:
-    rows = []
-    for t in texts:
-        n, payload = payload_of(t.as_py())
-        rows.append({"n_bytes": n, "media": wave_file(payload, CODECS[zlib.crc32(payload) % 3])})
-    return pa.array(rows, _STORED)
+def unpack_pcm(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    values = np.frombuffer(packed, "<i2", offset=4)
+    out = np.empty(n, np.int16)
+    out[::2] = values[: (n + 1) // 2]
+    out[1::2] = _predicted(out[::2], n)
+    if len(values) > (n + 1) // 2:
+        out[1::2] += values[(n + 1) // 2 :]
+    return out
+
 
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_PCM = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("pcm", pa.binary())]
+)
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-_HEARD = pa.struct([("codec", pa.string()), ("payload", pa.binary()), ("pcm", pa.binary())])
 
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = utf8(batch["text"])
+        ids = batch["doc_id"].to_pylist()
+        for i, j in runs(offsets, 4 << 20):
+            rows = []
+            for k in range(i, j):
+                raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                payload = raw + b" " * (max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw))
+                rows.append((ids[k], len(raw), wave_file(payload, CODECS[zlib.crc32(payload) % 3])))
+            yield _batch(_MEDIA, rows)
 
-def _hear(media: pa.Array) -> pa.Array:
-    rows, i = [], 0
-    while i < len(media):
-        codecs, payloads, size = [], [], 0
-        while i < len(media) and size < 1 << 20:  # decode about 1 MB at a time
-            codec, payload = read_wave(media[i].as_py())
-            codecs.append(codec)
-            payloads.append(payload)
-            size, i = size + len(payload), i + 1
-        for codec, payload, pcm in zip(codecs, payloads, expand(payloads, codecs), strict=True):
-            rows.append({"codec": NAMES[codec], "payload": payload, "pcm": resample(pcm).astype("<i2").tobytes()})
-    return pa.array(rows, _HEARD)
 
+def _hear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files by codec, about 2 MB of payload at a time, all blocks of these decoded side by side."""
+    for batch in batches:
+        media, ids, sizes = batch["media"], batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist()
+        codecs = [int.from_bytes(m.as_buffer()[20:22], "little") for m in media]  # where wave_file puts the format tag
+        for codec in CODECS:
+            own = [k for k, c in enumerate(codecs) if c == codec]
+            ends = np.cumsum([0, *(len(media[k].as_buffer()) for k in own)])
+            for i, j in runs(ends, 2 << 20):
+                files = [media[k].as_py() for k in own[i:j]]
+                payloads = [read_wave(f)[1] for f in files]
+                rows = []
+                for k, f, p, x in zip(own[i:j], files, payloads, expand(payloads, [codec] * len(files)), strict=True):
+                    digest = hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest()
+                    rows.append((ids[k], sizes[k], len(p), *digest, NAMES[codec], pack_pcm(resample(x))))
+                yield _batch(_PCM, rows)
 
-_MEASURED = pa.struct([("peak", pa.int32()), ("mean_square", pa.int64()), ("crossings", pa.int64())])
 
+_MEASURED = pa.struct([("n", pa.int64()), ("crc", pa.int64()), ("peak", pa.int32()), ("mean_square", pa.int64()), ("crossings", pa.int64())])
 
-def _measure(pcm: pa.Array) -> pa.Array:
+
+def _measure(packed: pa.Array) -> pa.Array:
     rows = []
-    for x in pcm:
-        own = np.frombuffer(x.as_buffer(), "<i2")[::2]  # the samples at 8 kHz
+    for x in packed:
+        pcm = unpack_pcm(x.as_buffer().to_pybytes()).astype("<i2")
+        own = pcm[::2]  # the samples at 8 kHz
         wide = own.astype(np.int64)
         crossings = int(((own[1:] < 0) != (own[:-1] < 0)).sum())
-        rows.append({"peak": int(np.abs(wide).max(initial=0)), "mean_square": int((wide * wide).sum()) // max(1, len(own)), "crossings": crossings})
-    return pa.array(rows, _MEASURED)
+        rows.append((2 * len(pcm), zlib.crc32(pcm.tobytes()), int(np.abs(wide).max(initial=0)), int((wide * wide).sum()) // max(1, len(own)), crossings))
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _MEASURED, strict=True)], fields=list(_MEASURED))
+
+
+#: Of the Parquet tables. Larger pages let equal passages of several documents be found.
+_LEVEL, _PAGE = "parquet.compression.codec.zstd.level", {"parquet.page.size": 8 << 20}
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a WAVE file whose codec its payload decides."""
-    docs = docs.select("doc_id", F.arrow_udf(_store, "struct<n_bytes:bigint,media:binary>")("text").alias("m"))
-    return docs.select("doc_id", "m.*")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def heard(media: DataFrame) -> DataFrame:
-    """media with codec, payload and 16 kHz PCM, from the stored bytes."""
-    return media.withColumn("h", F.arrow_udf(_hear, "struct<codec:string,payload:binary,pcm:binary>")("media")).select(*media.columns, "h.*")
+    """doc_id, digests of the stored files, codec and 16 kHz PCM (packed), from the stored bytes."""
+    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_hear, fields)
 
 
 def measured(pcm: DataFrame) -> DataFrame:
-    """pcm with the peak, mean square and sign changes of its samples at 8 kHz."""
-    return pcm.withColumn("f", F.arrow_udf(_measure, "struct<peak:int,mean_square:bigint,crossings:bigint>")("pcm")).select(*pcm.columns, "f.*")
+    """pcm with its bytes and their CRC when unpacked, and the peak, mean square and sign changes of its samples at 8 kHz."""
+    return pcm.withColumn("f", F.arrow_udf(_measure, "struct<n:bigint,crc:bigint,peak:int,mean_square:bigint,crossings:bigint>")("pcm")).select(*pcm.columns, "f.*")
 
 
 def resampled(docs: DataFrame) -> DataFrame:
-    """doc_id, digests of the stored files, codec and 16 kHz PCM: files and PCM are tables of the shared folder, read back from there."""
-    tail = F.expr("substring(payload, -16, 16)")
-    pcm = heard(saved(stored(docs), "media")).select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
-    )
-    return saved(pcm, "pcm")
+    """heard() of the stored files: files and PCM are tables of the shared folder, read back from there."""
+    files = saved(stored(docs), "media", **_PAGE, **{_LEVEL: 9})
+    return saved(heard(files), "pcm", **_PAGE, **{_LEVEL: 12})
 
 
 def telephony_query(docs: DataFrame) -> DataFrame:
     """Digests of the stored files and features of the stored PCM, both read back from the shared folder."""
-    feature = F.concat_ws(":", "codec", F.octet_length("pcm"), F.crc32("pcm"), "peak", "mean_square", "crossings")
-    read = measured(resampled(docs.select("doc_id", "text")))
+    feature = F.concat_ws(":", "codec", "n", "crc", "peak", "mean_square", "crossings")
+    read = measured(resampled(docs))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -36,8 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_ids and whether the ids decode to the text."""
-    both = pieces.decoded(pieces.encoded(docs.select("doc_id", "text")))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return pieces.round_trip(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "lossless")
 
 
 STAGES = [

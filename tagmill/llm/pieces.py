@@ -7,14 +7,15 @@ before, so each occurrence is segmented by itself and runs repeat exactly. With
 
 No piece of the vocabularies used reaches over a word's beginning, so texts are cut there and each word is segmented by
 itself, without the signs that follow its letters where no piece joins them. An occurrence's skips are a number whose bit t
-stands for the candidate that comes up as the t-th. The result follows from the word and those bits that came up, so it is
-kept under both: keeping results saves work and changes none.
+stands for the candidate that comes up as the t-th. Each type of word is segmented once without skips; its occurrences
+whose skips concern none of the candidates that came up then share that result, and all others are segmented one by one.
+The agendas of many words run side by side in numpy, one candidate of each word a step.
 
 Decoding joins pieces and bytes and is exact: characters without a piece become byte pieces, and so does the character
 that stands for a space inside pieces, if a text holds it.
 
 Defined cases: null and empty texts have no ids and decode to the empty text (null stays null in decode); repeated rows
-with one doc_id are encoded alike; other columns are carried.
+with one doc_id are encoded alike; other columns are carried, and the column named for the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import heapq
 import re
 import struct
 import zlib
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import runs, utf8
+
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20
-#: Skip patterns on which the tests compare both agendas. Segmentation has no limit of this kind.
-VARIANTS = 64
-#: Results kept in a worker.
-MOST_CACHED = 1_200_000
-#: At most three candidates a character come up: words up to this length need 64 skips, longer ones draw more and aren't kept.
-WIDE = 22
+#: Types of words kept in a worker, about 150 MB; a worker forgets all of them when there are more.
+MOST_TYPES = 600_000
+#: At most three candidates a character come up: words up to this length need 64 skips. Longer ones draw more and run by themselves.
+WIDE = 21
 #: Longer words take a heap for their agenda, which does not grow with the square of their length.
 LONG = 48
-_NEVER = 1 << 30
+#: Words whose agendas run side by side, so that they stay in a core's cache.
+SIDE = 8192
+_NEVER = np.int32(1 << 30)
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = "▁"
 _SIGNS = ".,;:!?"
@@ -55,6 +59,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Pieces:
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         import sentencepiece
@@ -74,19 +84,57 @@ class Pieces:
         order = {x: k for k, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.rank = {p: order[x] for p, x in self.scores.items()}  # the lowest merges first
         self.limit, self.seed = int(rate * (1 << 32)), seed
-        #: (ids, bits that came up) by word where none of these is skipped, else by word and skips.
-        self.cache: dict[str | tuple[str, int], tuple[bytes, int]] = {}
-
-    def draws(self, key: int, first: int, n: int, part: int = 0) -> np.ndarray:
-        """64 skips for each of n occurrences from the first on; each bit is set with the rate, to 32 binary places."""
+        self._tables()
+        self._forget()
+
+    def _tables(self) -> None:
+        """What the agendas in numpy look up. A symbol is a piece, or a character that is none, by its code point after them."""
+        self.n_pieces = n = len(self.raw)
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        side = lambda x: self.ids.get(x, n + ord(x) if len(x) == 1 else -1)
+        pairs = {(x, y): (self.rank[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if (x := side(p[:k])) >= 0 and (y := side(p[k:])) >= 0}
+        self.slots = 1 << (4 * len(pairs)).bit_length()
+        self.keys, self.ranks, self.made = np.full(self.slots, -1, np.int64), np.full(self.slots, _NEVER, np.int32), np.zeros(self.slots, np.int32)
+        for (x, y), (rank, i) in pairs.items():
+            key = x << 32 | y
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] != -1:
+                at = (at + 1) % self.slots
+            self.keys[at], self.ranks[at], self.made[at] = key, rank, i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _GOLDEN) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
+    def _pairs(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or _NEVER) and piece of two symbols merged, from the hash table."""
+        keys = x.astype(np.int64) << 32 | y
+        at = self._slot(keys)
+        other = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        while len(other):
+            at[other] = (at[other] + 1) % self.slots
+            other = other[(self.keys[at[other]] != keys[other]) & (self.keys[at[other]] != -1)]
+        return self.ranks[at], self.made[at]
+
+    def _forget(self) -> None:
+        self.types: dict[str, int] = {}
+        #: By type: where its ids begin in the pool, and the bits of the candidates that came up (0 for a wide word).
+        self.starts, self.came = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
+        self.pool, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _own(self, key: int, part: int) -> int:
+        return xxhash.xxh64_intdigest(struct.pack("<QQ", key & 0xFFFFFFFFFFFFFFFF, part), self.seed)
+
+    def draws(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """64 skips for each occurrence `at` of the document with the hash `own`; each bit is set with the rate, to 32 binary places."""
         if self.limit >> 32 or not self.limit:
-            return np.full(n, -(self.limit >> 32) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-        own = xxhash.xxh64_intdigest(struct.pack("<QQ", key & 0xFFFFFFFFFFFFFFFF, part), self.seed)
-        base = _mix(np.arange(first, first + n, dtype=np.uint64) * _GOLDEN + np.uint64(own))
-        places = range((self.limit & -self.limit).bit_length() - 1, 32)
-        random = _mix(base + np.arange(places.start + 1, 33, dtype=np.uint64)[:, None] * _GOLDEN)
-        out = np.zeros(n, np.uint64)
-        for k, row in zip(places, random, strict=True):  # from the last binary place of the rate to the first
+            return np.full(len(at), -(self.limit >> 32) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        base = _mix(at.astype(np.uint64) * _GOLDEN + own)
+        out = np.zeros(len(at), np.uint64)
+        for k in range((self.limit & -self.limit).bit_length() - 1, 32):  # from the last binary place of the rate to the first
+            row = _mix(base + np.uint64((k + 1) * int(_GOLDEN) % (1 << 64)))
             out = out | row if self.limit >> k & 1 else out & row
         return out
 
@@ -146,52 +194,163 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p], came
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        out = [self.ids.get(p, p) for p in pieces]
-        if not all(type(x) is int for x in out):
-            out = [y for x in out for y in ([x] if type(x) is int else [self.byte[b] for b in x.encode()])]
-        return struct.pack(f"<{len(out)}i", *out)
-
-    def _word(self, word: str, skips: int, key: int, at: int) -> bytes:
-        """Ids of the word that is occurrence `at` of a document, with its first 64 skips."""
-        if len(word) > WIDE:
-            for part in range(1, -(-3 * len(word) // 64)):
-                skips |= int(self.draws(key, at, 1, part)[0]) << 64 * part
-            return self._ids(self._agenda(word, skips)[0])
-        cache, used = self.cache, 0
-        node = cache.get(word)
-        while node is not None:
-            more = (skips & node[1]) ^ used
-            if not more:
-                return node[0]
-            used |= more & -more
-            node = cache.get((word, used))
-        pieces, n = self._agenda(word, skips)
-        bits = (1 << n) - 1
-        if len(cache) > MOST_CACHED:
-            cache.clear()
-        out = self._ids(pieces)
-        cache[(word, skips & bits) if skips & bits else word] = out, bits
+    def _ids(self, pieces: list[str]) -> list[int]:
+        return [y for p in pieces for y in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
+
+    def _bytes(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words one after another as ids: characters that are no piece become bytes."""
+        none = np.flatnonzero(symbols >= self.n_pieces)
+        if not len(none):
+            return symbols, lengths
+        chars = [chr(c).encode() for c in (symbols[none] - self.n_pieces).tolist()]
+        each = np.ones(len(symbols), np.int64)
+        each[none] = list(map(len, chars))
+        out = np.repeat(symbols, each)
+        first = np.cumsum(each) - each
+        for k, c in zip(first[none].tolist(), chars, strict=True):
+            out[k : k + len(c)] = [self.byte[b] for b in c]
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        return out, np.bincount(of, each, len(lengths)).astype(np.int64)
+
+    def side_by_side(self, words: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of words, none wide, with their skips: ids one after another, how many each word has, and how many candidates came up.
+
+        Symbols keep their places; a merge takes the right one out of a list of neighbours. The rank of a pair stands at the
+        place of its left symbol, so the first least rank of a row is the leftmost best candidate.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        first = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        parts, counts, came = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), SIDE):
+            own = order[a : a + SIDE]
+            symbols, n = self._run(text, first[own], sizes[own], skips[own])
+            parts.append(symbols[symbols >= 0])
+            counts.append((symbols >= 0).sum(1))
+            came.append(n)
+        ids, lengths = self._bytes(np.concatenate(parts), np.concatenate(counts))
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        starts = (np.cumsum(lengths) - lengths)[back]
+        lengths = lengths[back]
+        return _ragged(ids, starts, lengths), lengths, np.concatenate(came)[back]
+
+    def _run(self, text: np.ndarray, first: np.ndarray, sizes: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols by word and place, -1 where none is left, and how many candidates came up."""
+        n, width = len(sizes), int(sizes.max())
+        places = np.arange(width, dtype=np.int32)
+        inside = places < sizes[:, None]
+        symbols = np.full((n, width + 1), -1, np.int32)  # a column more for the end
+        symbols[:, :width][inside] = self.symbol[text[(first[:, None] + places)[inside]]]
+        after = np.broadcast_to(places + 1, (n, width)).copy()
+        before = np.broadcast_to(places - 1, (n, width)).copy()
+        ranks, made = np.full((n, width), _NEVER, np.int32), np.zeros((n, width), np.int32)
+        if width > 1:
+            pairs = inside[:, 1:]
+            ranks[:, :-1][pairs], made[:, :-1][pairs] = self._pairs(symbols[:, : width - 1][pairs], symbols[:, 1:width][pairs])
+        came = np.zeros(n, np.int64)
+        rows = np.arange(n)
+        while len(rows):
+            at = ranks[rows].argmin(1)
+            go = ranks[rows, at] != _NEVER
+            rows, at = rows[go], at[go]
+            skip = (skips[rows] >> came[rows].astype(np.uint64)) & np.uint64(1) != 0
+            came[rows] += 1
+            ranks[rows[skip], at[skip]] = _NEVER
+            r, i = rows[~skip], at[~skip]
+            j = after[r, i]
+            symbols[r, i] = merged = made[r, i]
+            symbols[r, j] = -1
+            ranks[r, j] = _NEVER
+            k = after[r, j]
+            after[r, i] = k
+            end = k >= sizes[r]
+            open_ = np.flatnonzero(~end)
+            before[r[open_], k[open_]] = i[open_]
+            ranks[r, i] = _NEVER
+            ranks[r[open_], i[open_]], made[r[open_], i[open_]] = self._pairs(merged[open_], symbols[r[open_], k[open_]])
+            h = before[r, i]
+            left = np.flatnonzero(h >= 0)
+            ranks[r[left], h[left]], made[r[left], h[left]] = self._pairs(symbols[r[left], h[left]], merged[left])
+        return symbols, came
+
+    def _learn(self, words: list[str]) -> None:
+        """The ids of new types without skips."""
+        n = len(self.types)
+        wide = [w for w in words if len(w) > WIDE]
+        words = [w for w in words if len(w) <= WIDE]
+        ids, lengths, came = self.side_by_side(words, np.zeros(len(words), np.uint64)) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        bits = (np.uint64(1) << came.astype(np.uint64)) - np.uint64(1)
+        k = n + len(words) + len(wide)
+        while k + 1 > len(self.starts):
+            self.starts, self.came = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.came, np.zeros_like(self.came)))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.starts[n + len(words) + 1 : k + 1] = self.used
+        self.came[n : n + len(words)], self.came[n + len(words) : k] = bits, 0
+        self.types.update(zip((*words, *wide), range(n, k), strict=True))
+
+    def _wide(self, word: str, key: int, at: int) -> list[int]:
+        """Ids of a wide word that is occurrence `at` of a document, with as many skips as it can need."""
+        place, skips = np.array([at]), 0
+        for part in range(-(-3 * len(word) // 64)):
+            skips |= int(self.draws(np.uint64(self._own(key, part)), place)[0]) << 64 * part
+        return self._ids(self._agenda(word, skips)[0])
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, the space before it included; a character that itself looks like a piece's space stands alone as a null sign."""
+        if _SPACE not in text:
+            return self.chunk.findall((" " + text).replace(" ", _SPACE))
+        head, *rest = text.split(_SPACE)
+        out = self.chunk.findall((" " + head).replace(" ", _SPACE))
+        for x in rest:
+            out += ["", *self.chunk.findall(x.replace(" ", _SPACE))]
         return out
 
-    def encode(self, text: str | None, key: int) -> bytes:
-        """Ids of a whole text, 32 bits little-endian each; key is the document's."""
-        if not text:
-            return b""
-        if _SPACE in text:  # that character itself: three byte pieces between its neighbours
-            mark = np.array([self.byte[b] for b in _SPACE.encode()], "<i4").tobytes()
-            head, *rest = text.split(_SPACE)
-            chunks = [self.chunk.findall(x.replace(" ", _SPACE)) for x in (" " + head, *rest)]
-            firsts = accumulate(map(len, chunks), initial=0)
-            return mark.join(self._chunks(words, key, first) for words, first in zip(chunks, firsts, strict=False))
-        return self._chunks(self.chunk.findall((" " + text).replace(" ", _SPACE)), key, 0)
-
-    def _chunks(self, words: list[str], key: int, first: int) -> bytes:
-        out, get = [], self.cache.get
-        for at, (word, skips) in enumerate(zip(words, self.draws(key, first, len(words)).tolist(), strict=True), first):
-            node = get(word)
-            out.append(node[0] if node is not None and not skips & node[1] else self._word(word, skips, key, at))
-        return b"".join(out)
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and how many each has; keys are the documents'."""
+        if len(self.types) > MOST_TYPES:
+            self._forget()
+        found = [self.words(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = [w for x in found for w in x]
+        types = np.fromiter(map(self.types.get, flat, repeat(-1)), np.int64, len(flat))
+        fresh = np.flatnonzero(types < 0).tolist()
+        if fresh:
+            self._learn(list({flat[k] for k in fresh}.difference(self.types)))
+            types[fresh] = [self.types[flat[k]] for k in fresh]
+        own = np.repeat(np.array([self._own(k, 0) for k in keys], np.uint64), counts)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        skips = self.draws(own, at)
+        lengths = self.starts[types + 1] - self.starts[types]
+        ids = _ragged(self.pool, self.starts[types], lengths)
+        apart = [np.flatnonzero(skips & self.came[types]), np.flatnonzero(lengths == 0)]  # with skips of their own; wide words and marks
+        results = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        if len(apart[0]):
+            new, sizes, _ = self.side_by_side([flat[k] for k in apart[0].tolist()], skips[apart[0]])
+            results = [new], [sizes]
+        mark = [self.byte[b] for b in _SPACE.encode()]
+        doc = np.searchsorted(np.cumsum(counts), apart[1], "right")
+        for k, d in zip(apart[1].tolist(), doc.tolist(), strict=True):
+            one = self._wide(flat[k], keys[d], int(at[k])) if flat[k] else mark
+            results[0].append(np.array(one, np.int32))
+            results[1].append(np.array([len(one)]))
+        which, sizes = np.concatenate(apart), np.concatenate(results[1])
+        if len(which):
+            pool = np.concatenate((ids, *results[0]))
+            starts = np.cumsum(lengths) - lengths
+            starts[which] = len(ids) + np.cumsum(sizes) - sizes
+            lengths[which] = sizes
+            ids = _ragged(pool, starts, lengths)
+        return ids, np.bincount(np.repeat(np.arange(len(texts)), counts), lengths, len(texts)).astype(np.int64)
+
+    def encode(self, text: str | None, key: int) -> np.ndarray:
+        """Ids of a whole text; key is the document's."""
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -213,15 +372,25 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def _encode(pieces: Pieces, doc_ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list[str | None], np.ndarray, np.ndarray]]:
+    """Texts, their ids one after another and how many each has, about 2 MB of text at a time."""
+    for i, j in runs(utf8(texts)[1], 2 << 20):
+        some = texts.slice(i, j - i).to_pylist()
+        yield some, *pieces.encode_all(some, [zlib.crc32(str(d).encode()) for d in doc_ids.slice(i, j - i).to_pylist()])
+
+
+def _lists(ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+
+
 def encoded(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, out: str = "ids") -> DataFrame:
     """docs with the ids of each whole text. One narrow pass."""
     path = model or default_model()
 
     def encode(doc_ids: pa.Array, texts: pa.Array) -> pa.Array:
-        pieces = load(path, rate, seed)
-        found = [pieces.encode(t.as_py(), zlib.crc32(str(d.as_py()).encode())) for d, t in zip(doc_ids, texts, strict=True)]
-        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        found = list(_encode(load(path, rate, seed), doc_ids, texts))
+        return _lists([x[1] for x in found], [x[2] for x in found])
 
     return docs.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col("doc_id").cast("long"), F.col("text")))
 
@@ -237,7 +406,27 @@ def decoded(docs: DataFrame, model: str | None = None, ids: str = "ids", out: st
     return docs.withColumn(out, F.arrow_udf(decode, "string")(F.col(ids)))
 
 
+_TRIP = pa.struct([("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
+
+
+def round_trip(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """doc_id, ids of each whole text, and whether they decode to it. One pass: separate columns would encode twice."""
+    path = model or default_model()
+
+    def trip(doc_ids: pa.Array, texts: pa.Array) -> pa.Array:
+        pieces = load(path, rate, seed)
+        ids, counts, lossless = [], [], []
+        for some, own, n in _encode(pieces, doc_ids, texts):
+            ids.append(own)
+            counts.append(n)
+            ends = np.cumsum(n).tolist()
+            lossless += [pieces.decode(own[e - k : e]) == (t or "") for t, e, k in zip(some, ends, n.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([_lists(ids, counts), pa.array(lossless, pa.bool_())], fields=list(_TRIP))
+
+    trips = docs.select("doc_id", F.arrow_udf(trip, "struct<ids:array<int>,lossless:boolean>")(F.col("doc_id").cast("long"), F.col("text")).alias("t"))
+    return trips.select("doc_id", "t.ids", "t.lossless")
+
+
 def pieces_query(docs: DataFrame) -> DataFrame:
     """How many ids each document has, their hash, and whether they decode to its text."""
-    both = decoded(encoded(docs.select("doc_id", "text")))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return round_trip(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "lossless")

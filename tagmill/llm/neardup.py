@@ -3,7 +3,7 @@
 1. Every whole text is hashed to its shingles and a SuperMinHash signature of 128 places. Each shingle deals its ranks
    to the places as a random permutation, one rank a level, for all texts of a batch at once; a text stops at the level
    at which all of its places are filled, since later ranks are larger (the early stop).
-2. Equal texts become one node with the smallest doc_id. Nodes that agree in all 4 places of any of 32 bands are
+2. Equal texts become one node, a number, with the smallest doc_id. Nodes that agree in all 4 places of any of 32 bands are
    candidates: at a similarity of 0.8 a pair is missed with a chance of 5e-8.
 3. A shingle that only one candidate has cannot be common. Members that have too few others for any partner in their
    bucket are dropped from it; this is exact, and it clears buckets of texts that only share a passage.
@@ -18,8 +18,8 @@ Confirmation compares the sets of word shingles themselves, in integers: 100 * c
 
 Defined cases: null texts and texts without words have no shingles and stand alone, also if equal; texts of fewer words
 than a shingle are one shingle; repeated rows fall together; a null doc_id comes after all others, and a group that has no
-other has a null component_id and keeps one row; a doc_id with several texts counts for each of them by itself; empty tables give empty results; columns other than doc_id
-and text are carried only by kept().
+other has a null component_id and keeps one row; a doc_id with several texts counts for each of them by itself; empty tables
+give empty results; columns other than doc_id and text are carried only by kept(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ASCII_LOWER, runs, saved, utf8
+from tagmill.llm.common import ASCII_LOWER, runs, saved, unused, utf8
 
 WORDS = 5
 PERCENT = 80
@@ -177,21 +177,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for the ends of edges (a, b), a < b.
 
     Every round hooks the root of each node's larger neighbours to the smallest one and then jumps pointers, so long
-    chains shorten by half. The tables in between are written to the shared folder.
+    chains shorten by half. A round writes one table to the shared folder; one that changes nothing is the last.
     """
-    edges = edges.select("a", "b").distinct()
-    links = saved(edges, "links")
-    roots = saved(links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
-    while True:
+    links = saved(edges.select("a", "b").distinct(), "links")
+    roots = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("changed"))
+    roots = saved(roots, "roots")
+    while not roots.where("changed").isEmpty():
         left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         across = links.join(left, "a").join(right, "b").where("ra <> rb")
-        hooks = across.select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
-        hooks = saved(hooks, "hooks")
+        hooks = across.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to"))
         jumps = roots.select(F.col("node").alias("root"), F.col("root").alias("up")).where("up < root")
-        if hooks.isEmpty() and roots.join(jumps, "root", "left_semi").isEmpty():
-            return roots
-        next_roots = roots.join(hooks, "root", "left").join(jumps, "root", "left")
-        roots = saved(next_roots.select("node", F.least("root", F.coalesce("to", "root"), F.coalesce("up", "root")).alias("root")), "roots")
+        found = F.least("root", F.coalesce("to", "root"), F.coalesce("up", "root"))
+        roots = saved(roots.drop("changed").join(hooks, "root", "left").join(jumps, "root", "left").select("node", found.alias("root"), (found < F.col("root")).alias("changed")), "roots")
+    return roots.drop("changed")
 
 
 def _distinct_hashes(words: int):
@@ -213,10 +211,10 @@ def _possible(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
     Two sets of sizes n and m are similar if they share percent / (100 + percent) of n + m, and they share `shared` at most.
     """
-    held = texts.select("key", F.explode(_distinct_hashes(words)("text")).alias("shingle"))
-    alone = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
-    alone = alone.groupBy("key").agg(F.count("*").alias("alone"))
-    members = members.join(alone, "key", "left").select("bucket", "key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    held = texts.select("node", F.explode(_distinct_hashes(words)("text")).alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    members = members.join(alone, "node", "left").select("bucket", "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     members = saved(members, "shared")
     least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
     fits = F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest(least_n, n * {percent} div 100))")
@@ -225,34 +223,35 @@ def _possible(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return saved(members.join(buckets, "bucket"), "possible")
 
 
-def _links(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Confirmed links (a, b) of nodes (key, n, bands) that connect all similar nodes; None if no two share a bucket."""
-    rows = nodes.select("key", "n", F.explode("bands").alias("bucket"))
+def _links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b), a < b, that connect all similar nodes.
+
+    nodes (node, key, doc_id, n, bands); docs (doc_id, key, text) has the nodes' texts.
+    """
+    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = saved(rows.join(shared, "bucket"), "buckets")
-    texts = saved(texts.join(members.select("key").distinct(), "key", "left_semi"), "texts")
-    members = _possible(members, texts, words, percent).withColumn("root", F.col("key"))
-    similar = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {100 + percent} * least(a_shared, b_shared) >= {percent} * (a_n + b_n)"
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "shared", "root")]
-    links, done = None, 0
-    while not members.isEmpty():
-        if done == HUB_ROUNDS:
-            return saved(links.union(_block_links(members, texts, words, percent)), "confirmed")
-        order = F.xxhash64(F.col("a"), F.lit(done))  # another hub each round
-        hubs = members.select("bucket", F.col("key").alias("a"), *side("a")).groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "a", "a_n", "a_shared", "a_root")).alias("h"))
-        pairs = members.select("bucket", F.col("key").alias("b"), *side("b")).join(hubs.select("bucket", "h.*").drop("o"), "bucket")
-        pairs = pairs.where("a_root <> b_root").where(similar).select("a", "b").distinct()
-        pairs = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-        pairs = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b").sortWithinPartitions("a")
-        found = pairs.select("a", "b", "a_text", "b_text").mapInArrow(_confirmer(words, percent), "a binary, b binary")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = saved(found if links is None else links.union(found), "confirmed")
-        roots = components(links).withColumnRenamed("node", "key")
-        members = members.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"))
+    texts = docs.join(wanted, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "text")
+    texts = saved(texts.dropDuplicates(["node"]), "texts")
+    members = _possible(members, texts, words, percent).withColumn("root", F.col("node"))
+    similar = f"100 * least(a_n, n) >= {percent} * greatest(a_n, n) and {100 + percent} * least(a_shared, shared) >= {percent} * (a_n + n)"
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    for done in range(HUB_ROUNDS):
+        if members.isEmpty():
+            return links
+        # the hub has the least masked number, another mask each round; plain numbers need no sort to be aggregated
+        masked = F.col("node").bitwiseXOR(F.lit((done * 0x5DEECE66D1CE4E5B) & 0x7FFFFFFFFFFFFFFF))
+        hubs = members.groupBy("bucket").agg(*(F.min_by(c, masked).alias(f"a{x}") for c, x in (("node", ""), ("n", "_n"), ("shared", "_shared"), ("root", "_root"))))
+        pairs = members.join(hubs, "bucket").where("root <> a_root").where(similar).select("a", F.col("node").alias("b")).distinct()
+        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+        pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").sortWithinPartitions("a")
+        found = pairs.select("a", "b", "a_text", "b_text").mapInArrow(_confirmer(words, percent), "a long, b long")
+        links = saved(links.union(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "confirmed")
+        members = members.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
         members = saved(members.join(mixed, "bucket"), "left")
-        done += 1
-    return links
+    return links if members.isEmpty() else saved(links.union(_block_links(members, texts, words, percent)), "confirmed")
 
 
 def _compare_blocks(words: int, percent: int):
@@ -288,30 +287,34 @@ def _compare_blocks(words: int, percent: int):
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return compare
 
 
 def _block_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that join all similar members of different components that share a bucket."""
-    first = members.groupBy("bucket").agg(F.min("key").alias("a"))
-    star = members.select("bucket", F.col("key").alias("b")).join(first, "bucket").where("a < b").select("a", "b")
-    nodes = components(star).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    nodes = nodes.join(members.select("key", "root").distinct(), "key")
+    first = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    star = members.select("bucket", F.col("node").alias("b")).join(first, "bucket").where("a < b").select("a", "b")
+    nodes = components(star).withColumnRenamed("root", "cluster")
+    nodes = nodes.join(members.select("node", "root").distinct(), "node")
     by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("m"))
     small = by_root.where(f"m <= {BLOCK}").groupBy("cluster").agg(F.sum("m").alias("small"))
     nodes = nodes.join(by_root, ["cluster", "root"]).join(small, "cluster", "left")
     large = F.col("m") > BLOCK
-    block = F.when(large, F.concat(F.hex("root"), F.lit("/"), F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("string")))
+    block = F.when(large, F.concat(F.col("root").cast("string"), F.lit("/"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("string")))
     block = block.otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("root"), F.ceil(F.col("small") / BLOCK)).cast("string")))
-    nodes = saved(nodes.select("cluster", "key", "root", block.alias("block"), F.when(large, F.col("root")).alias("of")), "blocks")
+    nodes = saved(nodes.select("cluster", "node", "root", block.alias("block"), F.when(large, F.col("root")).alias("of")), "blocks")
     blocks = nodes.select("cluster", "block", "of").distinct()
     one, two = (blocks.select("cluster", F.col("block").alias(x), F.col("of").alias(f"{x}_of")) for x in ("x", "y"))
     tasks = one.join(two, "cluster").where("x <= y and coalesce(x_of <> y_of, true)")
     tasks = tasks.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    held = nodes.join(tasks, ["cluster", "block"]).join(texts, "key")
-    return held.select("cluster", "x", "y", "key", "root", "text").groupBy("cluster", "x", "y").applyInArrow(_compare_blocks(words, percent), "a binary, b binary")
+    held = nodes.join(tasks, ["cluster", "block"]).join(texts, "node")
+    return held.select("cluster", "x", "y", F.col("node").alias("key"), "root", "text").groupBy("cluster", "x", "y").applyInArrow(_compare_blocks(words, percent), "a long, b long")
+
+
+def _key(text: Column | str = "text") -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _decided(docs: DataFrame, words: int, percent: int, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -319,23 +322,19 @@ def _decided(docs: DataFrame, words: int, percent: int, places: int = PLACES, ro
 
     The kept rows of a group have its smallest doc_id and one text: of two texts with that doc_id the one of the smaller key.
     """
-    docs = docs.select("doc_id", "text")
-    key = F.unhex(F.md5("text"))
-    signed = docs.select("doc_id", key.alias("key"), _signer(words, places, rows)("text").alias("s"))
+    docs = docs.select("doc_id", _key().alias("key"), "text")
+    signed = docs.select("doc_id", "key", _signer(words, places, rows)("text").alias("s"))
     signed = saved(signed.select("doc_id", F.when(F.col("s.n") > 0, F.col("key")).alias("key"), F.col("s.n").alias("n"), F.col("s.bands").alias("bands")), "signed")
-    firsts = saved(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    own = firsts.select(F.col("key").alias("first_key"), F.col("doc_id").alias("first_id"))
-    first = lambda x: x.join(own, F.expr("key = first_key and doc_id <=> first_id"), "left_semi").dropDuplicates(["key"])
-    nodes = first(signed).select("key", "n", "bands")
-    texts = first(docs.select("doc_id", key.alias("key"), "text")).select("key", "text")
-    links = _links(nodes, texts, words, percent)
-    owner = firsts.select("key", F.col("doc_id").alias("component_id"), F.col("key").alias("owner_key"))
-    if links is not None:
-        roots = components(links)
-        smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("s")  # null ids last
-        ids = roots.join(firsts, roots["node"] == firsts["key"]).groupBy("root").agg(smallest)
-        better = roots.join(ids, "root").select(F.col("node").alias("key"), F.col("s.doc_id").alias("smallest"), F.col("s.key").alias("smallest_key"))
-        owner = owner.join(better, "key", "left").select("key", F.coalesce("smallest", "component_id").alias("component_id"), F.coalesce("smallest_key", "owner_key").alias("owner_key"))
+    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # equal texts have equal n and bands
+    roots = components(_links(nodes, docs, words, percent))
+    of = nodes.select("node", F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"))
+    smallest = F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "own_key")).alias("s")  # null ids last
+    owners = roots.join(of, "node").groupBy("root").agg(smallest).select("root", "s.own_id", "s.own_key")
+    better = roots.join(owners, "root").select("node", F.col("own_id").alias("group_id"), F.col("own_key").alias("group_key"))
+    owner = nodes.select("node", "key", "doc_id").join(better, "node", "left")
+    alone = F.col("group_key").isNull()
+    owner = owner.select("key", F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id"), F.coalesce("group_key", "key").alias("owner_key"))
     out = signed.drop("bands").join(owner, "key", "left")
     kept = F.expr("key is null or (key = owner_key and doc_id <=> component_id)")
     return out.select("doc_id", "key", "n", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
@@ -347,12 +346,23 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, places:
 
 
 def kept(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row for each group: the first of the smallest doc_id. Documents without words all stay."""
-    dropped = _decided(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = Window.partitionBy("doc_id", F.md5("text")).orderBy(F.lit(0))
-    stay = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_key")), "left_anti")
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return stay.withColumn("_copy", F.row_number().over(same)).where((F.col("_copy") == 1) | empty).drop("_copy")
+    """docs with one row for each group: the first of the smallest doc_id. Documents without words all stay.
+
+    Texts move once, for the anti-join with the ids and digests of what goes. Rows that repeat both are few or equal: only
+    they are grouped, and of them the one with the smallest hash of its other columns stays.
+    """
+    decided = saved(_decided(docs, words, percent).where("key is not null").select("doc_id", "key", "kept"), "decided")
+    no_id, key = unused(docs, "id"), unused(docs, "key")
+    named = [F.col("doc_id").alias(no_id), F.col("key").alias(key)]
+    same = F.col("doc_id").eqNullSafe(F.col(no_id)) & (_key() == F.col(key))
+    repeated = decided.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1").select(*named)
+    gone = decided.where("not kept").select(*named).distinct()
+    if repeated.isEmpty():
+        return docs.join(gone, same, "left_anti")
+    others = [c for c in docs.columns if c != "text"]
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*others)).alias("row")
+    first = docs.join(repeated, same, "left_semi").groupBy("doc_id", _key().alias(key)).agg(row).select("row.*")
+    return docs.join(gone.union(repeated), same, "left_anti").unionByName(first.select(docs.columns))
 
 
 def neardup_query(docs: DataFrame) -> DataFrame:

@@ -200,8 +200,8 @@ class Encoder:
     spacing or with the special token go to the library whole. Cutting, numbering and joining parts are done on columns.
     """
 
-    #: Parts kept, about 250 MB in a worker; a worker forgets all of them when there are more.
-    MOST = 1_200_000
+    #: Parts kept, about 200 MB in a worker; a worker forgets all of them when there are more.
+    MOST = 900_000
     _LETTERS = r" ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
     _WORD = rf"^{_LETTERS}$"
     _SIGNED = rf"^(?P<word>{_LETTERS})(?P<signs>[!-/:-@\[-`{{-~]+)$"
@@ -351,7 +351,7 @@ def write_shards(docs: DataFrame, vocabulary: str, parts: int | None = None, sha
         for batch in batches:
             part = batch["part"][0].as_py() if len(batch) else part
             offsets = utf8(batch["text"])[1]
-            for i, j in runs(offsets, 16 << 20):
+            for i, j in runs(offsets, 8 << 20):
                 ids, counts = encoder.encode(batch["text"].slice(i, j - i))
                 ids, counts = np.insert(ids, np.cumsum(counts), END), counts + 1
                 ends = np.cumsum(counts)

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,20 +118,51 @@ def test_tokens(docs):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    strange = ["a\n\n b", " x", "x ", "a  b", "<|endoftext|> a", "it's a\tb \n c", "é\x85 b\x1c c", "", "\n", "日本 語。", "a\x00b c", "\n\n x y"]
-    for text, ids in zip(strange, tokens.Encoder(path).encode(strange), strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+    encoder, rng = tokens.Encoder(path), random.Random(1)
+    signs = [" ", "\n", " ", "\t", "a", "B", "'s", "1", ".", ",", "é", "\x85", "\x1c", "\u00a0", "\r", "日", "ª", "×", "ɐ", "<|endoftext|>", "\0", "'", "don't", "İ", "!?", "$$$"]
+    strange = ["", "a\n\n b", " x", "x ", "<|endoftext|> a", "it's a\tb \n c", "日本 語。", None, *("".join(rng.choice(signs) for _ in range(rng.randrange(9))) for _ in range(6000))]
+    ids, counts = encoder.encode(pa.array(strange, pa.string()))
+    for text, own in zip(strange, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, 300, 3000)
-    m = tokens.open_shard(tokens.shard_file(np.array([1]), np.array([3000]), ids))[2]
-    assert m.ids().tolist() == ids.tolist()
-    for i in (0, 511, 512, 513, 2999):
-        assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
-    places = np.flatnonzero(ids == ids[5])
-    assert [m.select(int(ids[5]), k) for k in range(len(places))] == places.tolist() and m.select(int(ids[5]), len(places)) == -1 and m.rank(9999, 10) == 0
+    for n, most in ((3000, 300), (70_000, 70_000), (1, 1), (1024, 2), (300_000, 40)):
+        ids = rng.integers(0, most, n)
+        m = tokens.open_shard(tokens.shard_file(np.array([1]), np.array([n]), ids))[3]
+        assert m.ids().tolist() == ids.tolist()
+        for i in {0, n // 2, min(1023, n - 1), min(1024, n - 1), n - 1}:
+            assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
+        places = np.flatnonzero(ids == ids[n // 3])
+        some = sorted({*range(min(40, len(places))), len(places) - 1})
+        assert [m.select(int(ids[n // 3]), k) for k in some] == places[some].tolist()
+        assert m.select(int(ids[n // 3]), len(places)) == -1 and m.rank(1 << 40, n) == 0 and m.select(-1, 0) == -1
+
+
+def test_token_look_ups(spark, docs):
+    import public_tokenizers
+
+    rows = [(None, "one two one"), (3, "two"), (3, "one"), (1, None), (-(2**63), "one\none two"), (3, "two")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    files = tokens.write_shards(few, public_tokenizers.path(tokens.VOCABULARY), parts=3, shard_tokens=4)
+    back = tokens.read_documents(files).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [None, -(2**63), 1, 3, 3, 3]
+    assert [r["start"] for r in back] == list(np.cumsum([0, *(r["n_tokens"] for r in back)])[:-1])
+    files = tokens.write_shards(docs, public_tokenizers.path(tokens.VOCABULARY), parts=2, shard_tokens=5000)
+    assert files.count() > 4
+    flat = []
+    for f in files.orderBy("part", "shard").collect():
+        _, doc_ids, counts, m = tokens.open_shard(f["image"])
+        flat += [(f["part"], f["shard"], k, int(i), int(d)) for k, (i, d) in enumerate(zip(m.ids(), np.repeat(doc_ids, counts), strict=True))]
+    common = collections.Counter(x[3] for x in flat).most_common(3)
+    got = tokens.count_ids(files, [i for i, _ in common]).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    assert {(r["id"], r["n"]) for r in got} == set(common)
+    rare = min(collections.Counter(x[3] for x in flat).items(), key=lambda x: (abs(x[1] - 20), x[0]))[0]
+    at = {(x[4], k) for k, x in enumerate(flat) if x[3] == rare}
+    assert {(r["doc_id"], r["at"]) for r in tokens.occurrences(files, rare).collect()} == at
+    wanted = spark.createDataFrame([x[:3] for x in flat[::97]] + [(0, 0, -1), (0, 0, 10**9)], "part int, shard int, place long")
+    assert sorted(map(tuple, tokens.ids_at(files, wanted).collect())) == sorted(x[:4] for x in flat[::97])
 
 
 def test_quality(docs, labels):
@@ -218,17 +250,27 @@ def test_telephony(docs):
 
 def test_telephony_stores_pcm(spark, docs, monkeypatch):
     tables = {}
-    monkeypatch.setattr(telephony, "saved", lambda df, name: tables.setdefault(name, common.saved(df, name)))
+    monkeypatch.setattr(telephony, "saved", lambda df, name, **o: tables.setdefault(name, common.saved(df, name, **o)))
     got = {r["doc_id"]: r["feature"] for r in telephony.telephony_query(docs).collect()}
     media = {r["doc_id"]: telephony.read_wave(r["media"]) for r in tables["media"].collect()}
     assert tables["pcm"].count() == len(got)
     for r in tables["pcm"].collect():
         codec, payload = media[r["doc_id"]]
         own = telephony.expand([payload], [codec])[0]
-        assert r["pcm"] == telephony.resample(own).astype("<i2").tobytes()
+        pcm = telephony.unpack_pcm(r["pcm"]).astype("<i2").tobytes()
+        assert pcm == telephony.resample(own).astype("<i2").tobytes()
         wide = [int(x) for x in own]
         measured = (max(map(abs, wide)), sum(x * x for x in wide) // len(wide), sum((x < 0) != (y < 0) for x, y in zip(wide, wide[1:], strict=False)))
-        assert got[r["doc_id"]] == ":".join(map(str, (telephony.NAMES[codec], len(r["pcm"]), zlib.crc32(r["pcm"]), *measured)))
+        assert got[r["doc_id"]] == ":".join(map(str, (telephony.NAMES[codec], len(pcm), zlib.crc32(pcm), *measured)))
+
+
+def test_packed_pcm():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 7, 100):
+        pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert (telephony.unpack_pcm(telephony.pack_pcm(pcm)) == pcm).all()  # any PCM, not only what this module resamples
+        wide = telephony.resample(pcm)
+        assert (telephony.unpack_pcm(telephony.pack_pcm(wide)) == wide).all() and len(telephony.pack_pcm(wide)) == 4 + 2 * n
 
 
 def brute_components(rows, words):
@@ -304,34 +346,75 @@ def test_pieces(docs):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     plain, dropped = pieces.Pieces(pieces.default_model(), 0.0), pieces.Pieces(pieces.default_model(), 0.3)
     texts = [r[0] for r in docs.select("text").limit(60).collect()]
-    for text in [*texts, "a  b", " x", "日本語 \n\n z", "\t", "   "]:
-        assert np.frombuffer(plain.encode(text, 0), "<i4").tolist() == model.encode(text)
-        ids = np.frombuffer(dropped.encode(text, 5), "<i4")
-        assert dropped.decode(ids) == text and ids.tobytes() == dropped.encode(text, 5)
-    assert dropped.encode(texts[0], 0) != plain.encode(texts[0], 0)
-    assert dropped.decode(np.frombuffer(dropped.encode("a▁b▁", 1), "<i4")) == "a▁b▁"
-
-
-def test_agendas_agree(docs, monkeypatch):
-    model = pieces.Pieces(pieces.default_model(), 0.3)
-    words = {w for r in docs.select("text").limit(60).collect() for w in model.chunk.findall("▁" + r[0].replace(" ", "▁"))} | {"▁" * 9, "aaaaaaaa", "x"}
-    short = [model.segment(w, v) for w in sorted(words) for v in range(pieces.VARIANTS)]
-    monkeypatch.setattr(pieces, "LONG", 0)
-    assert short == [model.segment(w, v) for w in sorted(words) for v in range(pieces.VARIANTS)]
+    for text in [*texts, "a  b", " x", "日本語 \n\n z", "\t", "   ", "x" * 5000]:
+        assert plain.encode(text, 0).tolist() == model.encode(text)
+        ids = dropped.encode(text, 5)
+        assert dropped.decode(ids) == text and ids.tolist() == dropped.encode(text, 5).tolist()
+    assert dropped.encode(texts[0], 0).tolist() != plain.encode(texts[0], 0).tolist()
+    for text in ("a▁b▁", "▁", "▁▁a b▁", "", None):
+        assert dropped.decode(dropped.encode(text, 1)) == (text or "")
+    ids, counts = dropped.encode_all([*texts, None, "a▁b"], list(range(len(texts) + 2)))
+    for k, (own, text) in enumerate(zip(np.split(ids, np.cumsum(counts)[:-1]), [*texts, None, "a▁b"], strict=True)):
+        assert own.tolist() == dropped.encode(text, k).tolist()
+
+
+def agenda(model, word, skips):
+    """Merges one word by the definition: of all candidates that have not been skipped since they last came about, the best, then the leftmost."""
+    parts, dead, came = list(word), set(), 0
+    while True:
+        alive = [(model.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in model.rank and k not in dead]
+        if not alive:
+            return parts, came
+        k = min(alive)[1]
+        came += 1
+        if skips >> (came - 1) & 1:
+            dead.add(k)
+            continue
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        dead = {d - (d > k) for d in dead if d not in (k - 1, k, k + 1)}
+
+
+def test_agendas_agree(docs):
+    model, rng = pieces.Pieces(pieces.default_model(), 0.3), random.Random(3)
+    words = {w for r in docs.select("text").limit(40).collect() for w in model.words(r[0])} | {"▁" * 9, "aaaaaaaa", "x", "日本", "a日b", "▁é日日", "▁" + "ab" * 10}
+    words = sorted(w for w in words if 0 < len(w) <= pieces.WIDE) * 2
+    skips = [rng.getrandbits(64) & rng.getrandbits(64) for _ in words]
+    ids, counts, came = model.side_by_side(words, np.array(skips, np.uint64))
+    for word, skip, own, n in zip(words, skips, np.split(ids, np.cumsum(counts)[:-1]), came, strict=True):
+        parts, m = agenda(model, word, skip)
+        assert (model._ids(parts), m) == (own.tolist(), n), word
+        assert model._agenda(word, skip) == model._agenda_long(word, skip) == (parts, m)
+
+
+def test_whole_texts_with_dropout(docs):
+    model = pieces.Pieces(pieces.default_model(), 0.2)
+    for key, text in enumerate([*(r[0] for r in docs.select("text").limit(15).collect()), "x" * 300, "a▁b c"]):
+        want = []
+        for at, word in enumerate(model.words(text)):
+            skips = sum(int(model.draws(np.uint64(model._own(key, part)), np.array([at]))[0]) << 64 * part for part in range(max(1, -(-3 * len(word) // 64))))
+            want += model._ids(agenda(model, word, skips)[0]) if word else [model.byte[b] for b in "▁".encode()]
+        assert model.encode(text, key).tolist() == want
 
 
 def test_dropout_varies():
     model = pieces.Pieces(pieces.default_model(), 0.1)
     word = "language "
-    seen = collections.Counter(model.encode(word, k) for k in range(2000))
+    seen = collections.Counter(tuple(model.encode(word, k).tolist()) for k in range(2000))
     assert len(seen) > 8  # in different documents
-    one, many = model.encode(word[:-1], 7), model.encode(word * 2000, 7)
-    assert len(set("".join(model.raw[i].decode() + "|" for i in np.frombuffer(many, "<i4")).split(" "))) > 8  # and in one
-    assert many.startswith(one) and many == pieces.Pieces(pieces.default_model(), 0.1).encode(word * 2000, 7)  # whatever is kept from before
-    n = len(np.frombuffer(model.encode("a " * 20_000, 3), "<i4"))  # the one candidate of each word comes up once
+    one, many = model.encode(word[:-1], 7).tolist(), model.encode(word * 2000, 7).tolist()
+    assert len(set("".join(model.raw[i].decode() + "|" for i in many).split(" "))) > 8  # and in one
+    assert many[: len(one)] == one and many == pieces.Pieces(pieces.default_model(), 0.1).encode(word * 2000, 7).tolist()  # whatever is kept from before
+    n = len(model.encode("a " * 20_000, 3))  # the one candidate of each word comes up once
     assert abs((n - 20_001) / 20_000 - 0.1) < 0.01
-    assert len({model.encode("x" * 300, k) for k in range(20)}) == 20
-    assert all(model.encode(w, 1) for w in ("▁", "▁▁a b▁"))
+    assert len({tuple(model.encode("x" * 300, k).tolist()) for k in range(20)}) == 20
+
+
+def test_pieces_query(docs):
+    got = {r["doc_id"]: r for r in pieces.pieces_query(docs).collect()}
+    model = pieces.Pieces(pieces.default_model())
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and all(r["lossless"] for r in got.values())
+    assert all(got[d]["n_ids"] == len(model.encode(t, zlib.crc32(str(d).encode()))) for d, t in rows)
 
 
 def test_pipeline(spark):

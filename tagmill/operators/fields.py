@@ -1,10 +1,13 @@
-"""Named fields out of zone texts and codes."""
+"""Named fields out of texts and codes: the column expressions behind the extractors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.functions import mapping
+from tagmill.values import SECTIONS, STOP_WORDS
+
 #: Marks in their order, and whether case matters.
 MARKS = (("CE", r"\bCE\b"), ("TSCA", r"\bTSCA\b"), ("ULEF", r"\bULEF\b"), ("CARB", r"\bCARB\b"), ("RoHS", r"(?i)\bRoHS\b"), ("EPEAT", r"\bEPEAT\b"))
 ARTICLE = r"\b(\d{3})[\s.\-](\d{3})[\s.\-](\d{2})\b"
@@ -25,7 +28,7 @@ def itf_article(code: Column) -> Column:
 def origin(text: Column) -> Column:
     """Verb and country by the first step of the ladder that fits; null without a country."""
     low = F.lower(text)
-    has = lambda s: low.contains(s)
+    has = lambda s: low.contains(s)  # noqa: E731  # fixed values: the words of the ladder, in its order
     republic = has("republic") | has("publi") | has("repub")
     country = (
         F.when(has("people") & (has("china") | republic), "People's Republic of China").when(republic & has("china"), "Republic of China").when(has("china"), "China")
@@ -52,40 +55,17 @@ def age_rating(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\s", ""))
 
 
-def gross_weight(text: Column) -> Column:
-    kg = r"(?i)\bGross\s+(\d+(?:\.\d+)?)\s*k(?:g)?\b"
-    return F.when(text.rlike(kg), F.concat(F.lit("Gross "), F.regexp_extract(text, kg, 1), F.lit(" kg")))
-
-
-#: The two forms of a net weight.
-NET_KG = r"(?i)\bNet\s+(\d+(?:\.\d+)?)\s*k(?:g)?\b"
-NET_LBS = r"(?i)\bNet[^)]{0,30}\(\s*(\d+(?:\.\d+)?)\s*(?:lbs?|Ibs?)\s*\)"
-
-
-def net_weights(words: DataFrame, texts: DataFrame) -> DataFrame:
-    """label_id, net_weight of texts (label_id, text): the last word with a net weight, else the text's kilograms, else its pounds."""
-    last = words.where(F.col("text").rlike(NET_KG) | F.col("text").rlike(NET_LBS)).groupBy("label_id").agg(F.max_by("text", "word_idx").alias("word"))
-    rung = lambda p, unit: F.when(F.col("text").rlike(p), F.concat(F.lit("Net "), F.regexp_extract("text", p, 1), F.lit(unit)))
-    return texts.join(last, "label_id", "left").select("label_id", F.coalesce("word", rung(NET_KG, " kg"), rung(NET_LBS, " lbs")).alias("net_weight"))
-
-
-def dimensions(text: Column) -> Column:
-    pattern = r"(?i)(\d{1,4}(?:\.\d+)?(?:\s*[x×]\s*\d{1,4}(?:\.\d+)?)+)\s*(cm|mm)\b"
-    return F.when(text.rlike(pattern), F.concat_ws(" ", F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
-
-
-#: Words that are never part of a product name.
-STOP_WORDS = ("MADE", "IN", "OF", "THE", "AND", "OR", "FOR", "WITH", "BY", "AT", "ASSEMBLED", "REPUBLIC", "CHINA", "PEOPLE", "INTER", "SWEDEN", "SE", "AB", "BV", "DATE", "ATE", "DESIGN", "QUALITY")
-
-
 def is_name_token(token: Column) -> Column:
-    bare = F.regexp_replace(token, r"^[.,;:!?()]+|[.,;:!?()]+$", "")
-    return bare.rlike(r"^[A-ZÅÄÖ]{2,}(?:[-/][A-ZÅÄÖ]+)*\z") & ~bare.isin(*STOP_WORDS)
+    """Capitals, none of the words that names don't have, and no unit; an article number has no capitals."""
+    bare = F.regexp_replace(token, r"""^[.,;:|"'`]+|[.,;:|"'`]+$""", "")
+    unit = bare.rlike(r"(?i)(?:cm|mm|kg|lbs?)\b")
+    return bare.rlike(r"^[A-ZÅÄÖ]{2,}(?:[-/][A-ZÅÄÖ]+)*\n?\z") & ~F.upper(bare).isin(*STOP_WORDS) & ~unit
 
 
 def highlight_tokens(value: Column) -> Column:
     """Distinct lower-case tokens of three characters or more, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(value, r"[\s,;()]+"), F.lower), lambda t: F.length(t) >= 3)))
+    parts = F.transform(F.split(value, r"(?U)[\s,;:()\[\]©®™\\]+"), lambda t: F.lower(F.regexp_replace(t, r"^[.,/\-]+|[.,/\-]+$", "")))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3)))
 
 
 def fix_single(text: Column) -> Column:
@@ -104,12 +84,14 @@ def sniffed(head: Column) -> Column:
 
 
 def category(field_id: Column) -> Column:
-    """The section of a field that no list names."""
+    """The section of a field: the catalogue's, else by what its name holds."""
     low = F.lower(field_id)
     has = lambda *xs: F.greatest(*(low.contains(x) for x in xs), F.lit(False))
-    return (
+    known = F.try_element_at(mapping({f: section for section, fields in SECTIONS.items() for f in fields}), field_id)
+    return F.coalesce(
+        known,
         F.when(has("barcode", "ean", "itf") | low.startswith("ai_"), "barcodes").when(has("date", "stamp", "identifier"), "date").when(has("address", "supplier", "plant", "origin"), "address")
-        .when(has("compliance", "copyright", "age"), "compliance").when(has("copy"), "copy").otherwise("identity")
+        .when(has("compliance", "copyright", "age"), "compliance").when(has("copy"), "copy").otherwise("identity"),
     )
 
 
@@ -122,14 +104,3 @@ def check_digit_ok(code: Column) -> Column:
     digit = lambda k: F.substring(code, k, 1).cast("int")
     total = sum((digit(k) * (3 if k % 2 else 1) for k in range(2, 14)), digit(1) * 3)
     return (F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10))) == digit(14)
-
-
-def zone_fields(texts: DataFrame) -> DataFrame:
-    """The fields of a label's zone texts that this module builds, in one projection; README.md names those that are missing."""
-    c = F.col
-    stamp = date_stamp(c("date_text"), F.lit(0.88))
-    return texts.select(
-        "label_id", article_number(c("barcode_text")).alias("article_number"), origin(c("address_text")).alias("origin_text"), compliance_marks(c("compliance_text")).alias("marks"),
-        age_rating(c("compliance_text")).alias("age"), gross_weight(c("identity_text")).alias("gross"), dimensions(c("identity_text")).alias("dims"), stamp["value"].alias("stamp"),
-        stamp["confidence"].alias("stamp_conf"), stamp["pattern_match"].alias("stamp_match"),
-    )

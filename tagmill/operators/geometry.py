@@ -95,15 +95,89 @@ def regions(boxes: DataFrame, page: int = 3200 * 1000) -> DataFrame:
     return boxes.where((area >= 2000) & (area <= 0.85 * page)).select("label_id", "seq", "x", "y", region_class(F.col("b"), F.col("g"), F.col("r")).alias("region"))
 
 
-def overlaps(boxes: DataFrame) -> DataFrame:
-    """Pairs of one label's boxes that overlap, with the share of the smaller one (documented only by the reference)."""
-    one, two = (boxes.select("label_id", *(F.col(c).alias(f"{c}{k}") for c in ("seq", "x", "y", "w", "h"))) for k in (1, 2))
-    both = one.join(two, (one["label_id"] == two["label_id"]) & (F.col("seq1") < F.col("seq2")) & (F.col("x1") < F.col("x2") + F.col("w2")) & (F.col("x2") < F.col("x1") + F.col("w1")) & (F.col("y1") < F.col("y2") + F.col("h2")) & (F.col("y2") < F.col("y1") + F.col("h1")))
+def overlaps(boxes: DataFrame, cell: int = 512) -> DataFrame:
+    """Pairs of one label's boxes that overlap, with the share of the smaller one (documented only by the original).
+
+    Boxes meet in the cells of a grid that they touch, so a label with very many boxes is no single task; a pair counts in
+    the cell of its overlap's corner alone.
+    """
+    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size) - 1, F.lit(0))) / cell))
+    listed = boxes.select("label_id", "seq", "x", "y", "w", "h").withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    one, two = (listed.select("label_id", "cx", "cy", *(F.col(c).alias(f"{c}{k}") for c in ("seq", "x", "y", "w", "h"))) for k in (1, 2))
+    both = one.join(two, ["label_id", "cx", "cy"]).where("seq1 < seq2 and x1 < x2 + w2 and x2 < x1 + w1 and y1 < y2 + h2 and y2 < y1 + h1")
+    both = both.where((F.floor(F.greatest("x1", "x2") / cell) == F.col("cx")) & (F.floor(F.greatest("y1", "y2") / cell) == F.col("cy")))
     across = F.least(F.col("x1") + F.col("w1"), F.col("x2") + F.col("w2")) - F.greatest("x1", "x2")
     down = F.least(F.col("y1") + F.col("h1"), F.col("y2") + F.col("h2")) - F.greatest("y1", "y2")
-    return both.select(one["label_id"], "seq1", "seq2", (across * down).alias("area"), ((across * down) / F.least(F.col("w1") * F.col("h1"), F.col("w2") * F.col("h2"))).alias("ratio"))
+    smaller = F.least(F.col("w1") * F.col("h1"), F.col("w2") * F.col("h2"))
+    return both.select("label_id", "seq1", "seq2", (across * down).alias("area"), ((across * down) / smaller).alias("ratio"))
+
+
+def overlap_issues(pairs: DataFrame) -> DataFrame:
+    """Overlaps worth a report: a twentieth of the smaller box is a warning, a quarter an error (documented only by the original)."""
+    return pairs.where(F.col("ratio") >= 0.05).withColumn("severity", F.when(F.col("ratio") >= 0.25, "error").otherwise("warning"))
 
 
 def line_kind(lines: DataFrame) -> DataFrame:
     """Strokes of 20 pixels or more, horizontal or vertical by the longer side."""
     return lines.where((F.col("w") >= 20) | (F.col("h") >= 20)).select("label_id", "seq", F.when(F.col("w") > F.col("h"), "horizontal").otherwise("vertical").alias("direction"))
+
+
+def polygon_box(polygon: Column) -> Column:
+    """STRUCT x, y, w, h around a polygon (array of [x, y]), in whole pixels, one at least each way."""
+    side = lambda k: F.transform(polygon, lambda p: F.get(p, F.lit(k)))
+    xs, ys = side(0), side(1)
+    x, y = F.array_min(xs).cast("long"), F.array_min(ys).cast("long")
+    size = lambda of, at: F.greatest(F.lit(1), (F.array_max(of) - at).cast("long"))
+    return F.struct(x.alias("x"), y.alias("y"), size(xs, x).alias("w"), size(ys, y).alias("h"))
+
+
+def line_direction(dx: Column, dy: Column) -> Column:
+    """horizontal or vertical by the longer side; null for strokes too short both ways."""
+    return F.when((dx >= 20) | (dy >= 20), F.when(dx > dy, "horizontal").otherwise("vertical"))
+
+
+def calibrated(labels: DataFrame, itf: Column, matrix: Column) -> DataFrame:
+    """labels (label_id, img_w, img_h) with shape and zones (name, start, end): where a wide label shows both codes, its zones are anchored to them.
+
+    itf and matrix are the codes' boxes, null where there is none. Anchored zones may overlap; the first one counts.
+    """
+    zone = lambda name, start, end: F.struct(F.lit(name).alias("name"), start.cast("double").alias("start"), end.cast("double").alias("end"))
+
+    def fixed(shape_name: str) -> Column:
+        starts = (0.0, *(end for _, end in ZONES[shape_name]))
+        return F.array(*(zone(n, F.lit(a), F.lit(b)) for a, (n, b) in zip(starts, ZONES[shape_name], strict=False)))
+
+    width = F.col("img_w")
+    left, middle = itf["x"] / width, matrix["x"] / width
+    right = F.least((matrix["x"] + matrix["w"]) / width + 0.12, F.lit(0.58))
+    end = F.least(F.greatest(left * 0.85, F.least(F.lit(0.18), left - 0.01)), left - 0.005)
+    lit = F.lit
+    anchored = F.array(
+        zone("left_identity", lit(0.0), end), zone("center_barcode", left * 0.85, middle - 0.01), zone("center_datamatrix", middle - 0.01, right), zone("center_address", right, lit(0.72)),
+        zone("right_compliance", lit(0.72), lit(0.84)), zone("right_date", lit(0.84), lit(0.95)), zone("right_copy_count", lit(0.95), lit(1.0)),
+    )
+    zones = F.when((F.col("shape") == "landscape") & itf.isNotNull() & matrix.isNotNull(), anchored).when(F.col("shape") == "landscape", fixed("landscape"))
+    return with_shape(labels).withColumn("zones", zones.when(F.col("shape") == "portrait", fixed("portrait")).otherwise(fixed("circular")))
+
+
+def zoned_by(words: DataFrame, labels: DataFrame) -> DataFrame:
+    """words with the first of their label's own zones that holds their centre, else its last; labels as calibrated() gives them."""
+    rows = words.join(labels.select("label_id", "img_w", "img_h", "shape", "zones"), "label_id")
+    across, down = (F.col("x") + F.col("w") / 2) / F.col("img_w"), (F.col("y") + F.col("h") / 2) / F.col("img_h")
+    at = F.when(F.col("shape") == "landscape", across).otherwise(down)
+    inside = F.filter("zones", lambda z: (z["start"] <= at) & (at < z["end"]))
+    return rows.select(*words.columns, F.coalesce(F.get(inside, F.lit(0)), F.element_at("zones", -1))["name"].alias("zone"))
+
+
+def zone_across(share: Column) -> Column:
+    """The wide labels' zone at a share of the width; the first one before the beginning, else the last."""
+    return F.when(share < 0, ZONES["landscape"][0][0]).otherwise(_zone("landscape", share))
+
+
+def engine_zones(words: DataFrame, width: Column, least: int = 5) -> DataFrame:
+    """Words of an engine (text, score to 100, x, w) by the zone across the width: a row per zone and for `unknown`, with mean confidence as it is."""
+    kept = words.where((F.col("score") >= least) & (F.trim("text") != "")).withColumn("zone", zone_across((F.col("x") + F.col("w") / 2) / width))
+    found = kept.groupBy("label_id", "zone").agg(F.count("*").alias("word_count"), (F.sum("score") / (F.count("*") * 100)).alias("avg_confidence"))
+    names = F.array(*(F.lit(z) for z, _ in ZONES["landscape"]), F.lit("unknown"))
+    every = words.select("label_id").distinct().select("label_id", F.explode(names).alias("zone"))
+    return every.join(found, ["label_id", "zone"], "left").select("label_id", "zone", F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))

@@ -20,7 +20,20 @@ _own_folder: list[str] = []
 _SESSION = uuid.uuid4().hex
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise. Spark's own bound counts in rows, and ten
+#: thousand long texts, copied on both sides and for each of an executor's cores, are much.
+BATCH = "8m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers in bytes, where the session has Spark's default."""
+    if spark.conf.get(_BATCH_BYTES) in ("67108864b", str(1 << 26)):
+        spark.conf.set(_BATCH_BYTES, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,16 +1,18 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see different views of a document: the text itself (kinds of characters, words, repeats, hashed
-words) and its metadata (language, source, length). In each round each of them labels the pool of unlabelled documents,
-and those that it is most sure of join the other's training set. Both are then calibrated on a held-out fold of labelled
-documents, and a third logistic function combines the calibrated views.
+words) and its metadata (language, source, length). In each round both score every unlabelled document; those of which one
+is most sure, a share that grows with the rounds, become labels for the other. Both are then calibrated on a held-out fold
+of labelled documents, and a third logistic function combines the calibrated views.
 
-Fitting takes at most LABELLED labelled and POOL unlabelled documents, drawn by a hash; all documents are scored. A
-document is kept if its score is at least the threshold: 0.5, or less where more than LOST of the good documents of the
-held-out fold would be lost.
+The features of all documents are made once and kept as a table. Shares and thresholds come from counts over all unlabelled
+documents, by thousandths of the scores. A fit takes at most LABELLED labelled documents and in each round PSEUDO of those
+that the other view labelled, the smallest by a hash, so that it is the same in each run. A document is kept if its score is
+at least the threshold: 0.5, or less where more than LOST of the good documents of the held-out fold would be lost.
 
 Defined cases: null or empty text has the features of no words; null metadata is a value of its own; conflicting labels of
-one doc_id count by their majority, ties as good; without labels of both kinds all documents score 0.5 and are kept.
+one doc_id count by their majority, ties as good; a label counts for all rows of its doc_id; without labels of both kinds all
+documents score 0.5 and are kept; columns of other names are carried, those named like the result are replaced in scored().
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import saved, unused
+
 LABELLED = 8_000
-POOL = 4_000
-ROUNDS = 4
-#: Share of the pool that a view labels for the other in a round.
+PSEUDO = 4_000
+ROUNDS = 3
+#: Share of the unlabelled documents that a view labels for the other, times the round's number, and how sure it must be.
 CONFIDENT = 0.05
+SURE = 0.8
 LOST = 0.005
 WORD_BUCKETS = 128
 META_BUCKETS = 128
@@ -94,38 +99,46 @@ class Views:
         return np.stack((_sigmoid(zt), _sigmoid(zm), _sigmoid(_logit(np.stack((zt, zm), 1), self.combine))), 1)
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, seed: int = 3) -> Views | None:
-    if len(set(y.tolist())) < 2:
-        return None
-    order = np.random.default_rng(seed).permutation(len(y))
-    held, used = order[: len(y) // 4], order[len(y) // 4 :]
-    if len(set(y[held].tolist())) < 2 or len(set(y[used].tolist())) < 2:
-        held = used = order
-    extra: dict[str, tuple[list[int], list[int]]] = {"text": ([], []), "meta": ([], [])}
-
-    def fitted(name: str, x: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        at, label = extra[name]
-        return logistic(np.concatenate((x[used], pool[at])), np.concatenate((y[used], label)))
-
-    base = float(y[used].mean())
-    for _ in range(ROUNDS):
-        wt, wm = fitted("text", xt, pool_t), fitted("meta", xm, pool_m)
-        for w, x, to in ((wt, pool_t, "meta"), (wm, pool_m, "text")):
-            p = _sigmoid(_logit(x, w)) if len(x) else np.zeros(0)
-            free = np.setdiff1d(np.arange(len(p)), extra[to][0])
-            ranked = free[np.argsort(p[free], kind="stable")]
-            many = int(len(p) * CONFIDENT)
-            low, high = int(many * (1 - base)), int(many * base)
-            bad, good = [i for i in ranked[:low] if p[i] < 0.2], [i for i in ranked[len(ranked) - high :] if p[i] > 0.8]
-            extra[to][0].extend([*bad, *good])
-            extra[to][1].extend([0] * len(bad) + [1] * len(good))
-    wt, wm = fitted("text", xt, pool_t), fitted("meta", xm, pool_m)
-    zt, zm = _logit(xt[held], wt), _logit(xm[held], wm)
-    ct, cm = logistic(zt[:, None], y[held], 0.01), logistic(zm[:, None], y[held], 0.01)
-    both = np.stack((np.clip(_logit(zt[:, None], ct), -30, 30), np.clip(_logit(zm[:, None], cm), -30, 30)), 1)
-    combine = logistic(both, y[held], 0.01)
-    good = np.sort(_sigmoid(_logit(both, combine))[y[held] == 1])
-    return Views(wt, wm, ct, cm, combine, float(min(0.5, good[int(LOST * len(good))])))
+class CoTraining:
+    """The fits of both views on labelled documents and on what the other view has labelled."""
+
+    def __init__(self, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, seed: int = 3):
+        order = np.random.default_rng(seed).permutation(len(y))
+        self.held, self.used = order[: len(y) // 4], order[len(y) // 4 :]
+        if len(set(y[self.held].tolist())) < 2 or len(set(y[self.used].tolist())) < 2:
+            self.held = self.used = order
+        self.x, self.y = {"text": xt, "meta": xm}, y
+        self.base = float(y[self.used].mean())
+        self.extra = {k: (np.zeros((0, x.shape[1])), np.zeros(0)) for k, x in self.x.items()}
+
+    def weights(self, view: str) -> np.ndarray:
+        x, y = self.extra[view]
+        return logistic(np.concatenate((self.x[view][self.used], x)), np.concatenate((self.y[self.used], y)))
+
+    def views(self) -> Views:
+        wt, wm, y = self.weights("text"), self.weights("meta"), self.y[self.held]
+        zt, zm = _logit(self.x["text"][self.held], wt), _logit(self.x["meta"][self.held], wm)
+        ct, cm = logistic(zt[:, None], y, 0.01), logistic(zm[:, None], y, 0.01)
+        both = np.stack((np.clip(_logit(zt[:, None], ct), -30, 30), np.clip(_logit(zm[:, None], cm), -30, 30)), 1)
+        combine = logistic(both, y, 0.01)
+        good = np.sort(_sigmoid(_logit(both, combine))[y == 1])
+        return Views(wt, wm, ct, cm, combine, float(min(0.5, good[int(LOST * len(good))])))
+
+
+def thresholds(counts: np.ndarray, many: float, base: float) -> tuple[int, int]:
+    """Of counts by thousandth of a score: the highest place that is labelled bad and the lowest that is labelled good.
+
+    From each end places are taken until the share of `many` is reached (the last one whole), while they are sure enough.
+    """
+    low, high, n = -1, len(counts), 0.0
+    while low + 1 <= round((1 - SURE) * 1000) and n < many * (1 - base):
+        low += 1
+        n += counts[low]
+    n = 0.0
+    while high - 1 >= round(SURE * 1000) and n < many * base:
+        high -= 1
+        n += counts[high]
+    return low, high
 
 
 def _view_features(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +148,20 @@ def _view_features(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: p
     return xt, xm
 
 
+_FEATURES = pa.struct([("t", pa.binary()), ("m", pa.binary())])
+
+
 def _featurize(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
-    xt, xm = _view_features(texts, langs, sources, sizes)
-    return pa.array([{"t": a.astype(np.float32), "m": b.astype(np.float32)} for a, b in zip(xt, xm, strict=True)], pa.struct([("t", pa.list_(pa.float32())), ("m", pa.list_(pa.float32()))]))
+    out: tuple[list[bytes], list[bytes]] = [], []
+    for i in range(0, len(texts), 512):
+        for x, rows in zip(_view_features(*(c.slice(i, 512) for c in (texts, langs, sources, sizes))), out, strict=True):
+            rows += [r.tobytes() for r in x.astype("<f4")]
+    return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in out], fields=list(_FEATURES))
+
+
+def _matrix(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = rows.to_pylist()
+    return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1).astype(float)
 
 
 _COLUMNS = ("text", "lang", "source", "n_chars")
@@ -147,51 +171,93 @@ def _columns():
     return [F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("long")]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Views | None:
-    """Fit on hash-drawn samples; broadcast is the labels' sample, LABELLED rows at most."""
-    docs = docs.select("doc_id", *_COLUMNS)
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, y (null: unlabelled), rank (a hash), t and m (the views' features): a row per document, as a table."""
     votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    n_labels, n_docs = votes.count(), docs.count()
-    if not n_labels or not n_docs:
-        return None
-    draw = lambda *c: F.pmod(F.xxhash64(*c, F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    few = votes.where(draw("doc_id") < LABELLED / n_labels).limit(LABELLED)
-    features = F.arrow_udf(_featurize, "struct<t:array<float>,m:array<float>>")
-    known = docs.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", features(*_columns()).alias("f")).toArrow()
-    pool = docs.where(draw("doc_id", "text") < 2 * POOL / n_docs).limit(2 * POOL).join(votes, "doc_id", "left_anti").limit(POOL).select("doc_id", features(*_columns()).alias("f")).toArrow()
+    made = docs.select("doc_id", F.arrow_udf(_featurize, "struct<t:binary,m:binary>")(*_columns()).alias("f"))
+    made = made.select("doc_id", "f.t", "f.m").join(votes, "doc_id", "left")
+    return saved(made.select("doc_id", "y", F.xxhash64("doc_id", F.lit(11)).alias("rank"), "t", "m"), "features")
 
-    def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(np.array(rows["doc_id"].fill_null(-1).to_pylist(), np.int64), kind="stable")
-        f = rows["f"].combine_chunks()
-        xt, xm = (np.array(f.field(k).to_pylist(), float).reshape(len(rows), -1) for k in ("t", "m"))
-        return order, xt[order] if len(rows) else np.zeros((0, 16 + WORD_BUCKETS)), xm[order] if len(rows) else np.zeros((0, META_BUCKETS))
 
-    order, xt, xm = arrays(known)
-    _, pt, pm = arrays(pool)
-    return co_train(xt, xm, np.array(known["y"].to_pylist())[order], pt, pm) if len(known) else None
+def _drawn(rows: DataFrame, n: int, most: int) -> pa.Table:
+    """`most` of the n rows (all, if there are no more), those with the smallest ranks; equal rows count once."""
+    some = rows.where(F.pmod("rank", F.lit(1_000_000)) < 2_000_000 * most / max(1, n))
+    place = [F.pmod("rank", F.lit(1_000_000)), "rank", F.xxhash64("t", "m")]
+    return some.dropDuplicates(["doc_id", "t", "m"]).orderBy(*place).limit(most).toArrow()
 
 
-def scored(docs: DataFrame, views: Views | None) -> DataFrame:
-    """docs with p_text, p_meta, quality_score and keep. One narrow pass over the whole texts."""
+def _placer(wt: np.ndarray, wm: np.ndarray):
+    """STRUCT of both views' scores in thousandths."""
+
+    def places(t: pa.Array, m: pa.Array) -> pa.Array:
+        found = [np.floor(_sigmoid(_logit(_matrix(x), w)) * 1000).astype(np.int32) if len(x) else np.zeros(0, np.int32) for x, w in ((t, wt), (m, wm))]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in found], names=["t", "m"])
+
+    return F.arrow_udf(places, "struct<t:int,m:int>")
+
+
+def fit(table: DataFrame) -> Views | None:
+    """The views, from a table of features()."""
+    n_rows, n_known = table.agg(F.count("*"), F.count("y")).first()
+    known = _drawn(table.where("y is not null"), n_known, LABELLED) if n_known else None
+    if known is None or len(set(known["y"].to_pylist())) < 2:
+        return None
+    training = CoTraining(_matrix(known["t"]), _matrix(known["m"]), np.array(known["y"].to_pylist()))
+    free = table.where("y is null")
+    for round_ in range(1, ROUNDS + 1 if n_rows > n_known else 1):
+        scored_ = free.withColumn("p", _placer(training.weights("text"), training.weights("meta"))("t", "m"))
+        pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.col(f"p.{v}").alias("place")) for v in "tm"))).alias("x")
+        counted = scored_.select(pairs).groupBy("x.v", "x.place").agg(F.count("*").alias("n")).collect()  # a thousand rows for each view
+        for view, to in (("t", "meta"), ("m", "text")):
+            counts = np.zeros(1001, np.int64)
+            for r in counted:
+                if r["v"] == view:
+                    counts[r["place"]] = r["n"]
+            low, high = thresholds(counts, CONFIDENT * round_ * counts.sum(), training.base)
+            at = F.col(f"p.{view}")
+            sure = _drawn(scored_.where((at <= low) | (at >= high)).select("doc_id", "rank", "t", "m", (at >= high).cast("int").alias("y")), int(counts[: low + 1].sum() + counts[high:].sum()), PSEUDO)
+            training.extra[to] = _matrix(sure["m" if to == "meta" else "t"]) if len(sure) else training.extra[to][0][:0], np.array(sure["y"].to_pylist(), float)
+    return training.views()
+
+
+def _scorer(views: Views | None):
+    """STRUCT of the calibrated views and both combined, from the columns of a document."""
     fields = pa.struct([(k, pa.float64()) for k in ("p_text", "p_meta", "quality_score")])
 
     def score(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
         out = []
         for i in range(0, len(texts), 512):
             xt, xm = _view_features(*(x.slice(i, 512) for x in (texts, langs, sources, sizes)))
-            out.append(views.score(xt, xm) if views else np.full((len(xt), 3), 0.5))
+            out.append(views.score(xt.astype("<f4").astype(float), xm) if views else np.full((len(xt), 3), 0.5))
         values = np.concatenate(out) if out else np.zeros((0, 3))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], fields=list(fields))
 
-    docs = docs.withColumn("_s", F.arrow_udf(score, "struct<p_text:double,p_meta:double,quality_score:double>")(*_columns()))
-    threshold = views.threshold if views else 0.0
-    return docs.withColumns({**{k: F.col(f"_s.{k}") for k in ("p_text", "p_meta", "quality_score")}, "keep": F.col("_s.quality_score") >= threshold}).drop("_s")
+    return F.arrow_udf(score, "struct<p_text:double,p_meta:double,quality_score:double>")(*_columns())
+
+
+def scored(docs: DataFrame, views: Views | None) -> DataFrame:
+    """docs with p_text, p_meta, quality_score and keep. One narrow pass over the whole texts."""
+    own = unused(docs, "s")
+    docs = docs.withColumn(own, _scorer(views))
+    found = {k: F.col(f"{own}.{k}") for k in ("p_text", "p_meta", "quality_score")}
+    return docs.withColumns(found | {"keep": F.col(f"{own}.quality_score") >= (views.threshold if views else 0.0)}).drop(own)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return scored(docs.select("doc_id", *_COLUMNS), fit(docs, labels)).select("doc_id", "p_text", "p_meta", "quality_score", "keep")
+    """The scores of all documents, from the features that the fit has read too."""
+    table = features(docs.select("doc_id", *_COLUMNS), labels)
+    views = fit(table)
+
+    def score(t: pa.Array, m: pa.Array) -> pa.Array:
+        values = (views.score(_matrix(t), _matrix(m)) if views else np.full((len(t), 3), 0.5)) if len(t) else np.zeros((0, 3))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], names=["p_text", "p_meta", "quality_score"])
+
+    rows = table.select("doc_id", F.arrow_udf(score, "struct<p_text:double,p_meta:double,quality_score:double>")("t", "m").alias("s")).select("doc_id", "s.*")
+    return rows.withColumn("keep", F.col("quality_score") >= (views.threshold if views else 0.0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    return scored(docs, fit(docs, labels)).where("keep").select(docs.columns)
+    views = fit(features(docs.select("doc_id", *_COLUMNS), labels))
+    own = unused(docs, "s")
+    return docs.withColumn(own, _scorer(views)).where(F.col(f"{own}.quality_score") >= (views.threshold if views else 0.0)).drop(own)

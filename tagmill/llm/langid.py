@@ -2,20 +2,19 @@
 
 Subwords are all runs of 2, 3 and 4 bytes of the text in lower case, with everything in ASCII that is no letter taken as a
 gap. Their hashed embeddings are averaged and fed to a softmax; both are trained by stochastic gradient descent in numpy
-on a bounded sample, at most PER_LANG documents of each of the MOST_LANGS most frequent languages. A fifth of the sample
+on a bounded sample of labelled documents: PER_LANG of each language, fewer where SAMPLE in all would be passed, one of each
+language at least; the smallest by a hash of the id. Every language of the usable documents can be predicted. A fifth of the sample
 sets the temperature and the score under which a prediction is rejected.
 
-Defined cases: text that is null or holds no letter gives `und` with score 0, rejected; without labelled documents all
+Defined cases: text that is null or holds no letter gives `und` with score 0, rejected; a null id is not held out; without labelled documents all
 predictions are `und`; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import runs, utf8
@@ -23,8 +22,9 @@ from tagmill.llm.common import runs, utf8
 BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
+#: Labelled documents that the fit takes of a language, and of all.
 PER_LANG = 1_000
-MOST_LANGS = 64
+SAMPLE = 4_000
 EPOCHS = 4
 #: Share of right predictions among those accepted, on the calibration fifth.
 ACCEPTED = 0.995
@@ -58,8 +58,8 @@ def _features(texts: pa.Array) -> pa.Array:
         for _, h in gram_buckets(data[a:b]):
             counts += np.bincount(h, minlength=BUCKETS)
         at = np.flatnonzero(counts)
-        out.append({"at": at.astype(np.int32), "w": (counts[at] / max(1, counts.sum())).astype(np.float32)})
-    return pa.array(out, pa.struct([("at", pa.list_(pa.int32())), ("w", pa.list_(pa.float32()))]))
+        out.append({"at": at.astype(np.int16), "w": (counts[at] / max(1, counts.sum())).astype(np.float32)})
+    return pa.array(out, pa.struct([("at", pa.list_(pa.int16())), ("w", pa.list_(pa.float32()))]))
 
 
 class Model:
@@ -113,24 +113,27 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Mode
     return model
 
 
-def learned(docs: DataFrame) -> Column:
-    """Whether a document may be learned from: crc32 of its id as text, modulo 4, is not 2."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+def learned() -> Column:
+    """Whether a document may be learned from: crc32 of its id as text, modulo 4, is not 2. A null id has none, so it may."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def fit(docs: DataFrame) -> Model | None:
-    usable = docs.select("doc_id", "text", "lang").where(learned(docs)).where("lang is not null and text is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    usable = docs.select("doc_id", "text", "lang").where(learned()).where("lang is not null and text is not null")
+    counts = usable.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, PER_LANG / r[1]))))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    sample = usable.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).limit(2 * PER_LANG * len(counts))
-    rows = sample.select("doc_id", "lang", F.arrow_udf(_features, "struct<at:array<int>,w:array<float>>")("text").alias("f")).select("doc_id", "lang", "f.*").toArrow()
-    lang, ids = rows["lang"].to_pylist(), rows["doc_id"].to_pylist()
+    each = max(1, min(PER_LANG, SAMPLE // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, 2 * each / r[1]))))
+    rank = F.xxhash64("doc_id", F.lit(5))
+    few = usable.where(F.pmod(rank, F.lit(1_000_000)) / 1_000_000 < F.try_element_at(share, F.col("lang")))  # twice what is needed, about
+    few = few.dropDuplicates(["doc_id", "lang", "text"]).withColumn("_rank", rank).withColumn("_text", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("_rank", "doc_id", "_text")
+    sample = few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).select("doc_id", "lang", "_rank", "_text", F.arrow_udf(_features, "struct<at:array<short>,w:array<float>>")("text").alias("f"))
+    rows = sample.select("lang", "_rank", "_text", "f.*").toArrow()
+    lang, order = rows["lang"].to_pylist(), sorted(range(len(rows)), key=list(zip(rows["_rank"].to_pylist(), rows["_text"].to_pylist(), rows["lang"].to_pylist(), strict=True)).__getitem__)
     at, w = (rows[k].combine_chunks() for k in ("at", "w"))
     ends, buckets, shares = at.offsets.to_numpy(), at.values.to_numpy(), w.values.to_numpy()  # slices of two arrays, no lists of numbers
-    order = sorted(range(len(lang)), key=lambda i: (ids[i] or 0, lang[i]))
     return train([(buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]], lang[i]) for i in order if ends[i] < ends[i + 1]])
 
 
@@ -173,8 +176,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 def langid_query(docs: DataFrame) -> DataFrame:
     model = fit(docs)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~learned(docs)).alias("held_out"), "lang_pred", "score", "rejected")
-
-
-def crc_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~learned()).alias("held_out"), "lang_pred", "score", "rejected")

@@ -4,7 +4,7 @@ Base patterns (assignments, access keys, long hex) are reported as they match. E
 after their structure is confirmed: base64 or hex is decoded and must parse as a private key encoding whose nested
 lengths fit exactly (DER, OpenSSH), and a signed token needs a JSON header that names an algorithm, a JSON payload and
 a signature of a length that the algorithm allows. Candidates span real and escaped line breaks, as in wrapped keys and
-in keys inside JSON or source strings, and end with any of their lines.
+in keys inside JSON or source strings, and end with any of their lines. Armour may hold header lines, and may be in base64 again.
 
 Defined cases: a null or empty text has no spans; offsets count code points, end exclusive; equal rows give equal
 results; spans of one kind never overlap; an incoming column named like the output is replaced.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: In the order by which spans with the same start are listed; the first three are the base kinds.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "ssh64", "derhex", "sshhex")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "ssh64", "derhex", "sshhex", "pem64")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -32,7 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Between the lines of a candidate: real line breaks with the blanks around them, or escaped ones of a string.
 _BREAK = r"(?:\\+r)?(?:\\+n)|[\x20\t]*(?:\r\n?|\n)[\x20\t]*"
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+_PEM = re.compile(rf"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----((?:(?:{_BREAK})[A-Z][A-Za-z-]+: ?[\x20-\x5B\x5D-\x7E]*)*)((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+#: A whole armoured key in base64 again.
+_PEM_64 = re.compile(r"(?<![A-Za-z0-9+/])LS0tLS1CRUdJTi[A-Za-z0-9+/]+={0,2}")
 #: How keys begin: a DER sequence with MA to MI in base64, by its length byte; an OpenSSH key with its magic word. An escape may precede.
 _HEAD_64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-I]|b3BlbnNza)(?:[A-Za-z0-9+/]|\\+/){14}")
 _HEAD_HEX = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\[nrt]))(?:30|6[Ff]70656[Ee]737368)[0-9A-Fa-f]{14}")
@@ -83,15 +85,29 @@ def der_key(data: bytes) -> str | None:
         return "ec"
     if version in (0, 1) and tags[1:3] == [0x30, 4]:
         algorithm = der_items(data, inner[1][1], inner[1][2])
-        if algorithm and algorithm[0][0] == 6:
+        if algorithm and algorithm[0][0] == 6 and _nested(data, *inner[1][1:]) and _nested(data, *inner[2][1:]):
             return "pkcs8"
     if tags == [0x30, 4]:
         algorithm = der_items(data, inner[0][1], inner[0][2])
-        if algorithm and [x[0] for x in algorithm] == [6, 0x30]:
+        if algorithm and [x[0] for x in algorithm] == [6, 0x30] and _nested(data, *inner[0][1:]):
             return "pkcs8-encrypted"
     return None
 
 
+def _nested(data: bytes, start: int, end: int) -> bool:
+    """Whether data[start:end] is DER values, and so are the contents of all sequences and sets in it."""
+    items = der_items(data, start, end)
+    return bool(items) and all(a == b or _nested(data, a, b) for tag, a, b in items if tag in (0x30, 0x31))
+
+
+def armoured_key(headers: str, body: str) -> bool:
+    """Whether an armoured key's body is a key, or whole cipher blocks where its headers say that it is encrypted."""
+    raw = _decoded(_ESCAPE.sub("", body))
+    if raw and "ENCRYPTED" in headers:
+        return len(raw) % 8 == 0
+    return bool(raw) and (der_key(raw) is not None or openssh_key(raw))
+
+
 def der_size(data: bytes) -> int:
     """How many bytes the DER sequence that data begins with takes by its length field; 0 if it can't be a key."""
     if len(data) < 7 or data[0] != 0x30 or data[1] == 0x80 or data[1] > 0x84:
@@ -214,11 +230,13 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
         found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if signed_token(*m.groups())]
     pem = []
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            raw = _decoded(_ESCAPE.sub("", m[2]))
-            if raw and (der_key(raw) or openssh_key(raw)):
-                pem.append((m.start(), m.end()))
+        pem = [(m.start(), m.end()) for m in _PEM.finditer(text) if armoured_key(m[2], m[3])]
         found += [("pem", a, b) for a, b in pem]
+    if "LS0tLS1CRUdJTi" in text:
+        for m in _PEM_64.finditer(text):
+            inside = _PEM.search((_decoded(m[0]) or b"").decode("latin-1"))
+            if inside and armoured_key(inside[2], inside[3]):
+                found.append(("pem64", m.start(), m.end()))
     found += [x for x in _keys(text, _HEAD_64, _BODY_64, _decoded, 6, ("der64", "ssh64")) if not any(a <= x[1] < b for a, b in pem)]
     if "30" in text or "6f70656e737368" in low:
         found += _keys(text, _HEAD_HEX, _BODY_HEX, _unhexed, 4, ("derhex", "sshhex"))

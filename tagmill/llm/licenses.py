@@ -2,8 +2,8 @@
 
 Words unique to both a stretch of text and a template are anchors; their longest increasing subsequence is kept, and the
 gaps between are aligned in the same way, common beginnings and ends first. Coverage is the share of the template's words
-that are aligned. Stretches lie around every place of the template word that is rarest in the text, so that long texts
-and repeated notices are covered. A template whose words are too few in a text for the coverage asked for is left out
+that are aligned. Stretches lie around every place of the template words that are rarest in the text, so that long texts
+and repeated notices are covered, and reach over the template's length and a fifth more on both sides (REACH). A template whose words are too few in a text for the coverage asked for is left out
 beforehand, which is exact.
 
 Defined cases: null and empty texts have no license; of overlapping hits of one template the better, then the earlier
@@ -38,7 +38,31 @@ TEMPLATES = {
     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+    "notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "BSD-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in "
+    "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE.",
 }
+#: Words that a covered stretch may hold besides the template's, at most, as a share of the template's (in percent).
+REACH = 20
 
 
 def words(text: str | None) -> list[str]:
@@ -118,7 +142,7 @@ def find_licenses(text: str | None, percent: int = PERCENT) -> list[tuple[str, f
             starts += places[w]
             if missing > allowed:
                 break
-        hits, reach = [], n + allowed
+        hits, reach = [], n + n * REACH // 100
         for k in sorted(set(starts)):
             a, b = max(0, k - reach), min(len(found), k + reach + 1)
             pairs = align(found[a:b], template)

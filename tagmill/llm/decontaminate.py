@@ -6,7 +6,8 @@ at a known place. Training texts are scanned for anchors, the words around each
 of windows, and a hit counts once all words agree. Anchors only save work: whatever they drop cannot match.
 
 The anchors and windows are sent to the executors only while there are at most `most_windows` of them, which is checked
-by a count. Beyond that, every training window is cut out and joined with the benchmark's by shuffle (no broadcast).
+by a count. Beyond that, numbers alone are shuffled: the hash and place of every training window meets the hashes of the
+benchmark's, and the words are looked at again only where a hash was found. Both ways give the same rows.
 
 Defined cases: null and empty texts have no words and no hits; null items have no windows; repeated items count each by
 its own id; repeated rows give repeated results; other columns of either table are ignored.
@@ -14,12 +15,13 @@ its own id; repeated rows give repeated results; other columns of either table a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import lower_az
+from tagmill.llm.common import lower_az, unused
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -56,9 +58,9 @@ def _covered(spans: Column) -> Column:
 
 
 def _cuts(k: int) -> Column:
-    """All windows of k words with their start; null where the text has fewer words."""
+    """Start, words and hash of all windows of k words; null where the text has fewer."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (k - 1), F.lit(1)))
-    return F.when(F.size("_words") >= k, F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.slice("_words", i, k).alias("window"))))
+    return F.when(F.size("_words") >= k, F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.lit(k).alias("n"), F.xxhash64(F.slice("_words", i, k)).alias("h"))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_windows: int = MOST_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -92,9 +94,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_w
         rows = rows.withColumn("_hits", hits)
     else:
         sizes = sorted(r[0] for r in tests.select(F.size("window")).distinct().collect())  # 1 to n at most
-        cuts = [_cuts(k) for k in sizes]
-        empty = F.array().cast("array<struct<start:int,window:array<string>>>")
-        rows = base.withColumn("_cut", F.explode_outer(reduce(lambda a, b: F.concat(a, b), [F.coalesce(c, empty) for c in cuts], empty))).drop("_words")
+        empty = F.array().cast("array<struct<start:int,n:int,h:bigint>>")
+        every = reduce(F.concat, [F.coalesce(_cuts(k), empty) for k in sizes], empty)
+        hashes = tests.select(F.xxhash64("window").alias("h")).distinct()
+        found = base.select("_row", F.explode(every).alias("c")).select("_row", "c.*").join(hashes, "h", "left_semi")
+        found = found.groupBy("_row").agg(F.collect_set(F.struct("start", "n")).alias("_found"))
+        cut = F.transform("_found", lambda c: F.struct(c["start"].alias("start"), F.slice("_words", c["start"] + 1, c["n"]).alias("window")))
+        rows = base.join(found, "_row", "left").withColumn("_cut", F.explode_outer(cut)).drop("_words", "_found")
         rows = rows.withColumn("_key", F.xxhash64("_cut.window")).join(tests.select(F.xxhash64("window").alias("_key"), "window", "items"), "_key", "left")
         hit = F.when(F.col("_cut.window") == F.col("window"), F.array(F.struct(F.col("_cut.start").alias("start"), F.size("window").alias("n"), F.col("items"))))
         rows = rows.withColumn("_hits", hit)
@@ -111,23 +117,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_w
     ).withColumn("n_hit", _covered(F.col("spans")).cast("long"))
 
 
+def without_words(text: Column, inside: Callable[[Column], Column]) -> Column:
+    """The text without the words whose numbers are inside, and without what stands between two of these; all else as it is."""
+    found = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)  # one more than words
+    gap = lambda i: F.when((i > 0) & inside(i - 1) & inside(i), "").otherwise(F.get(gaps, i))
+    parts = F.transform(gaps, lambda _, i: F.concat(gap(i), F.when(inside(i), "").otherwise(F.coalesce(F.get(found, i), F.lit("")))))
+    return F.array_join(parts, "")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents", most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs without contaminated documents, or with the hit words cut out of them (remove="spans", text normalised there).
+    """docs without contaminated documents, or with the hit words cut out of their texts (remove="spans"), whatever their columns' names.
 
     Only the ids and digests of contaminated texts are joined with docs, so texts are never copied for each hit.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
+    no_id, key, at = (unused(docs, c) for c in ("id", "key", "spans"))
     digest = F.unhex(F.md5("text"))
     found = contamination(docs.select("doc_id", "text", digest.alias("_digest")), benchmark, n, most_windows, keep=("_digest",)).where(F.col("n_hit") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), "_digest", "spans").dropDuplicates(["_id", "_digest"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    found = found.select(F.col("doc_id").alias(no_id), F.col("_digest").alias(key), F.col("spans").alias(at)).dropDuplicates([no_id, key])
+    same = F.col("doc_id").eqNullSafe(F.col(no_id)) & (digest == F.col(key))
     if remove == "documents":
         return docs.join(found, same, "left_anti")
-    inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["n"]))
-    clean = F.array_join(F.filter(words(F.col("text")), lambda w, i: ~inside(i)), " ")
+    inside = lambda i: F.exists(at, lambda s: (s["start"] <= i) & (i < s["start"] + s["n"]))
     joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(at).isNotNull(), without_words(F.col("text"), inside)).otherwise(F.col("text"))).select(docs.columns)
 
 
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ in documents, floor(n / shards) or one more, so shard sizes differ by one at mos
 bound is (1 + slack) times the mean, which moves fewer documents when a shard is added.
 
 The walk around the ring is done on counts per point (shards x points rows, however many documents there are). A
-document is told apart within its point by a rank, which is made of ranks in small salted groups and running totals of
-the groups, so that one id with a third of all rows is no heavier for a task than any other.
+document is told apart within its point by a rank by a hash of its id, size and CRC, so shards don't depend on how the rows
+are laid out in files. Ranks are made of ranks in small groups, ranges of the hash, and running totals of the groups; rows
+that are equal and too many for a group are parted by their place, which tells equal rows apart alone.
 
 Defined cases: a null text has size 1 and CRC 0, a null id lies at one fixed place; repeated rows are placed one by one;
 an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -102,15 +103,23 @@ def place(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, slack: fl
         F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int").alias("_place"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    base = saved(base.join(owner, "_place").drop("_place"), "ring", "snappy")
+    base = base.join(owner, "_place").drop("_place").withColumn("_hash", F.xxhash64("doc_id", "text_crc32", "size", F.lit(3)))
+    base = saved(base, "ring", "snappy")
     groups = max(1, base.count() // group_rows)
-    keyed = base.withColumn("_group", F.pmod("_row", F.lit(groups)))
-    sums = keyed.groupBy("_point", "_group").agg(F.count("*").alias("_n"))
+    many = base.groupBy("_hash").agg(F.count("*").alias("_c")).where(F.col("_c") > group_rows)  # n / group_rows rows at most
+    many = many.select("_hash", F.ceil(F.col("_c") / group_rows).alias("_parts_of"))
+    range_ = F.expr(f"shiftrightunsigned(_hash, 33) * {groups}L div {1 << 31}L")
+    keyed = base.join(F.broadcast(many), "_hash", "left").withColumns(
+        {"_range": range_, "_hot": F.when(F.col("_parts_of").isNotNull(), F.col("_hash")), "_salt": F.coalesce(F.pmod("_row", "_parts_of"), F.lit(0))}
+    ).drop("_parts_of")
+    group = ["_point", "_range", "_hot", "_salt"]
+    sums = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
     counts = {r[0]: r[1] for r in sums.groupBy("_point").agg(F.sum("_n")).collect()}
     parts = walk(on_ring, counts, bounds(sum(counts.values()), shards, slack))
-    before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("_point").orderBy("_group")) - F.col("_n")).drop("_n")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_point", "_group").orderBy("_row")) - 1)
-    ranked = ranked.join(before, ["_point", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("_point").orderBy("_range", "_hot", "_salt")) - F.col("_n")).drop("_n")
+    before = before.select("_point", "_range", F.col("_hot").alias("_hot_b"), "_salt", "_before")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_hash", "_row")) - 1)
+    ranked = ranked.join(before, ["_point", "_range", "_salt"]).where(F.col("_hot").eqNullSafe(F.col("_hot_b"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     by_point: dict[int, list] = {}
     for point, first, end, shard, slot in parts:
         by_point.setdefault(point, []).append((first, end, shard, slot))

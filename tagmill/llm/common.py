@@ -62,8 +62,9 @@ def saved(df: DataFrame, name: str, codec: str = "zstd", **options: str | int) -
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """What the optimizer thinks that df takes, in bytes: the files' sizes where it reads files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the optimizer thinks that df takes, in bytes: the files' sizes where it reads files; 0 where it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def release(spark: SparkSession) -> None:

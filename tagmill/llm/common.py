@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,35 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays while its executor runs other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+_trim = _libc()
+
+
+def giving_back(f: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """The function of a batch, with what it used given back after each."""
+
+    @wraps(f)
+    def wrapped(*args: pa.Array) -> pa.Array:
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n + 1 offsets of its rows; null counts as empty."""
     col = col.cast(pa.large_string())

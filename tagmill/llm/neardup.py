@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ASCII_LOWER, runs, saved, unused, utf8
+from tagmill.llm.common import ASCII_LOWER, give_back, giving_back, runs, saved, unused, utf8
 
 WORDS = 5
 PERCENT = 80
@@ -146,7 +146,7 @@ def _signer(words: int, places: int, rows: int):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(band[size > 0].reshape(-1)))
         return pa.StructArray.from_arrays([pa.array(size), lists], fields=list(_SIGNED))
 
-    return F.arrow_udf(sign, "struct<n:bigint,bands:array<bigint>>")
+    return F.arrow_udf(giving_back(sign), "struct<n:bigint,bands:array<bigint>>")
 
 
 def shingles(text: str | None, words: int) -> set[str]:
@@ -169,6 +169,7 @@ def _confirmer(words: int, percent: int):
                 common = len(own & other)
                 good.append(100 * common >= percent * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return confirm
 
@@ -203,7 +204,7 @@ def _distinct_hashes(words: int):
                 ends.append(ends[-1] + len(found[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
 
-    return F.arrow_udf(hashes, "array<bigint>")
+    return F.arrow_udf(giving_back(hashes), "array<bigint>")
 
 
 def _possible(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import runs, utf8
+from tagmill.llm.common import giving_back, runs, utf8
 
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20
-#: Types of words kept in a worker, about 150 MB; a worker forgets all of them when there are more.
-MOST_TYPES = 600_000
+#: Types of words kept in a worker, about 100 MB; a worker forgets all of them when there are more.
+MOST_TYPES = 400_000
 #: At most three candidates a character come up: words up to this length need 64 skips. Longer ones draw more and run by themselves.
 WIDE = 21
 #: Longer words take a heap for their agenda, which does not grow with the square of their length.
@@ -373,8 +373,8 @@ def default_model() -> str:
 
 
 def _encode(pieces: Pieces, doc_ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list[str | None], np.ndarray, np.ndarray]]:
-    """Texts, their ids one after another and how many each has, about 2 MB of text at a time."""
-    for i, j in runs(utf8(texts)[1], 2 << 20):
+    """Texts, their ids one after another and how many each has, about half a MB of text at a time."""
+    for i, j in runs(utf8(texts)[1], 1 << 19):
         some = texts.slice(i, j - i).to_pylist()
         yield some, *pieces.encode_all(some, [zlib.crc32(str(d).encode()) for d in doc_ids.slice(i, j - i).to_pylist()])
 
@@ -392,7 +392,7 @@ def encoded(docs: DataFrame, model: str | None = None, rate: float = RATE, seed:
         found = list(_encode(load(path, rate, seed), doc_ids, texts))
         return _lists([x[1] for x in found], [x[2] for x in found])
 
-    return docs.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col("doc_id").cast("long"), F.col("text")))
+    return docs.withColumn(out, F.arrow_udf(giving_back(encode), "array<int>")(F.col("doc_id").cast("long"), F.col("text")))
 
 
 def decoded(docs: DataFrame, model: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -423,7 +423,7 @@ def round_trip(docs: DataFrame, model: str | None = None, rate: float = RATE, se
             lossless += [pieces.decode(own[e - k : e]) == (t or "") for t, e, k in zip(some, ends, n.tolist(), strict=True)]
         return pa.StructArray.from_arrays([_lists(ids, counts), pa.array(lossless, pa.bool_())], fields=list(_TRIP))
 
-    trips = docs.select("doc_id", F.arrow_udf(trip, "struct<ids:array<int>,lossless:boolean>")(F.col("doc_id").cast("long"), F.col("text")).alias("t"))
+    trips = docs.select("doc_id", F.arrow_udf(giving_back(trip), "struct<ids:array<int>,lossless:boolean>")(F.col("doc_id").cast("long"), F.col("text")).alias("t"))
     return trips.select("doc_id", "t.ids", "t.lossless")
 
 

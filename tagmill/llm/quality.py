@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import saved, unused
+from tagmill.llm.common import giving_back, saved, unused
 
 LABELLED = 8_000
 PSEUDO = 4_000
@@ -171,12 +171,21 @@ def _columns():
     return [F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("long")]
 
 
-def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, y (null: unlabelled), rank (a hash), t and m (the views' features): a row per document, as a table."""
+def featured(docs: DataFrame, column: str) -> DataFrame:
+    """docs with the features of both views (t and m) in a column, as a table: the one pass over the whole texts."""
+    return saved(docs.withColumn(column, F.arrow_udf(giving_back(_featurize), "struct<t:binary,m:binary>")(*_columns())), "featured")
+
+
+def labelled(made: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, y (null: unlabelled), rank (a hash), t and m of rows (doc_id, t, m): a row each, as a table."""
     votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    made = docs.select("doc_id", F.arrow_udf(_featurize, "struct<t:binary,m:binary>")(*_columns()).alias("f"))
-    made = made.select("doc_id", "f.t", "f.m").join(votes, "doc_id", "left")
-    return saved(made.select("doc_id", "y", F.xxhash64("doc_id", F.lit(11)).alias("rank"), "t", "m"), "features")
+    return saved(made.join(votes, "doc_id", "left").select("doc_id", "y", F.xxhash64("doc_id", F.lit(11)).alias("rank"), "t", "m"), "features")
+
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """labelled() of the features of all documents, which no other table holds."""
+    made = docs.select("doc_id", F.arrow_udf(giving_back(_featurize), "struct<t:binary,m:binary>")(*_columns()).alias("f"))
+    return labelled(made.select("doc_id", "f.t", "f.m"), labels)
 
 
 def _drawn(rows: DataFrame, n: int, most: int) -> pa.Table:
@@ -193,7 +202,7 @@ def _placer(wt: np.ndarray, wm: np.ndarray):
         found = [np.floor(_sigmoid(_logit(_matrix(x), w)) * 1000).astype(np.int32) if len(x) else np.zeros(0, np.int32) for x, w in ((t, wt), (m, wm))]
         return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in found], names=["t", "m"])
 
-    return F.arrow_udf(places, "struct<t:int,m:int>")
+    return F.arrow_udf(giving_back(places), "struct<t:int,m:int>")
 
 
 def fit(table: DataFrame) -> Views | None:
@@ -232,7 +241,7 @@ def _scorer(views: Views | None):
         values = np.concatenate(out) if out else np.zeros((0, 3))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], fields=list(fields))
 
-    return F.arrow_udf(score, "struct<p_text:double,p_meta:double,quality_score:double>")(*_columns())
+    return F.arrow_udf(giving_back(score), "struct<p_text:double,p_meta:double,quality_score:double>")(*_columns())
 
 
 def scored(docs: DataFrame, views: Views | None) -> DataFrame:
@@ -243,21 +252,28 @@ def scored(docs: DataFrame, views: Views | None) -> DataFrame:
     return docs.withColumns(found | {"keep": F.col(f"{own}.quality_score") >= (views.threshold if views else 0.0)}).drop(own)
 
 
-def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The scores of all documents, from the features that the fit has read too."""
-    table = features(docs.select("doc_id", *_COLUMNS), labels)
-    views = fit(table)
+def _feature_scorer(views: Views | None):
+    """STRUCT like _scorer()'s, from the features."""
 
     def score(t: pa.Array, m: pa.Array) -> pa.Array:
         values = (views.score(_matrix(t), _matrix(m)) if views else np.full((len(t), 3), 0.5)) if len(t) else np.zeros((0, 3))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], names=["p_text", "p_meta", "quality_score"])
 
-    rows = table.select("doc_id", F.arrow_udf(score, "struct<p_text:double,p_meta:double,quality_score:double>")("t", "m").alias("s")).select("doc_id", "s.*")
+    return F.arrow_udf(giving_back(score), "struct<p_text:double,p_meta:double,quality_score:double>")
+
+
+def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The scores of all documents, from the features that the fit has read too."""
+    table = features(docs.select("doc_id", *_COLUMNS), labels)
+    views = fit(table)
+    rows = table.select("doc_id", _feature_scorer(views)("t", "m").alias("s")).select("doc_id", "s.*")
     return rows.withColumn("keep", F.col("quality_score") >= (views.threshold if views else 0.0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    views = fit(features(docs.select("doc_id", *_COLUMNS), labels))
-    own = unused(docs, "s")
-    return docs.withColumn(own, _scorer(views)).where(F.col(f"{own}.quality_score") >= (views.threshold if views else 0.0)).drop(own)
+    """docs without those that the classifier rejects; the texts are read once by Python and kept beside their features."""
+    own = unused(docs, "f")
+    table = featured(docs, own)
+    views = fit(labelled(table.select("doc_id", f"{own}.t", f"{own}.m"), labels))
+    score = _feature_scorer(views)(f"{own}.t", f"{own}.m")["quality_score"]
+    return table.where(score >= (views.threshold if views else 0.0)).select(docs.columns)

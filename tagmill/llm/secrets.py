@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import giving_back
+
 #: In the order by which spans with the same start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der64", "ssh64", "derhex", "sshhex", "pem64")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
@@ -269,12 +271,12 @@ def _redact(texts: pa.Array) -> pa.Array:
 
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """docs with a column of the spans found in each whole text. One narrow pass: no shuffle, memory of one batch."""
-    return docs.withColumn(out, F.arrow_udf(_scan, SPAN_TYPE)(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(giving_back(_scan), SPAN_TYPE)(F.col(text)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret masked in the text; a null text stays null."""
-    return docs.withColumn(text, F.arrow_udf(_redact, "string")(F.col(text)))
+    return docs.withColumn(text, F.arrow_udf(giving_back(_redact), "string")(F.col(text)))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:

@@ -83,9 +83,9 @@ add("engine_gate", lambda s, d: lines.engine_gate(_scored(s, d)).select("label_i
 _ACROSS = "((x+w/2)/2400::DOUBLE)"
 add("zone_across", lambda s, d: fx.words(s, d).select("label_id", "word_idx", geometry.zone_across((F.col("x") - 300 + F.col("w") / 2) / 2400).alias("zone")), ctes(
     f"SELECT label_id, word_idx, CASE WHEN x-300+w/2<0 THEN 'left_identity' ELSE {_zone_case('landscape', '((x-300+w/2)/2400::DOUBLE)')} END AS zone FROM fx_words"))
-add("engine_zones", lambda s, d: geometry.engine_zones(_scored(s, d), F.lit(2400)), ctes(
-    f"SELECT l.label_id, l.zone, coalesce(n,0) AS word_count, coalesce(total::DOUBLE/(n*100),0) AS avg_confidence FROM (SELECT DISTINCT label_id, unnest([{', '.join(repr(z) for z, _ in geometry.ZONES['landscape'])}, 'unknown']) AS zone FROM scored) l "
-    f"LEFT JOIN (SELECT label_id, {_zone_case('landscape', _ACROSS)} AS zone, count(*) AS n, sum(score)::BIGINT AS total FROM scored WHERE score>=5 AND trim(text)<>'' GROUP BY ALL) c USING (label_id, zone)", _SCORED))
+add("engine_zones", lambda s, d: geometry.engine_zones(_scored(s, d), F.lit(2400)).withColumn("raw_lines", F.array_join("raw_lines", " ")), ctes(
+    f"SELECT l.label_id, l.zone, coalesce(listed,'') AS raw_lines, coalesce(n,0) AS word_count, coalesce(total::DOUBLE/(n*100),0) AS avg_confidence FROM (SELECT DISTINCT label_id, unnest([{', '.join(repr(z) for z, _ in geometry.ZONES['landscape'])}, 'unknown']) AS zone FROM scored) l "
+    f"LEFT JOIN (SELECT label_id, {_zone_case('landscape', _ACROSS)} AS zone, string_agg(trim(text), ' ' ORDER BY word_idx) AS listed, count(*) AS n, sum(score)::BIGINT AS total FROM scored WHERE score>=5 AND trim(text)<>'' GROUP BY ALL) c USING (label_id, zone)", _SCORED))
 add("sparse_zones", lambda s, d: lines.sparse_zones(_zoned(s, d), 40), ctes("SELECT label_id, zone, count(*) AS n FROM zoned GROUP BY ALL HAVING count(*)<40", _ZONED))
 add("sized_words", lambda s, d: boxes.sized_words(fx.words(s, d).selectExpr("label_id", "word_idx", "x", "y", "w", "h-12 h")), ctes("SELECT label_id, word_idx, x, y, w, h-12 AS h FROM fx_words WHERE h-12>0 AND w>0"))
 add("region_boxes", lambda s, d: boxes.region_boxes(fx.boxes(s, d).selectExpr("label_id", "seq", "x", "y", "w", "h-11 h", "case when seq%3=0 then 'line' else 'region' end type")), ctes(

@@ -175,9 +175,12 @@ def zone_across(share: Column) -> Column:
 
 
 def engine_zones(words: DataFrame, width: Column, least: int = 5) -> DataFrame:
-    """Words of an engine (text, score to 100, x, w) by the zone across the width: a row per zone and for `unknown`, with mean confidence as it is."""
+    """Words of an engine (word_idx, text, score to 100, x, w) by the zone across the width: a row per zone and for `unknown`, with its words and mean confidence as it is."""
     kept = words.where((F.col("score") >= least) & (F.trim("text") != "")).withColumn("zone", zone_across((F.col("x") + F.col("w") / 2) / width))
-    found = kept.groupBy("label_id", "zone").agg(F.count("*").alias("word_count"), (F.sum("score") / (F.count("*") * 100)).alias("avg_confidence"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.trim("text").alias("text")))), lambda w: w["text"])
+    found = kept.groupBy("label_id", "zone").agg(listed.alias("raw_lines"), F.count("*").alias("word_count"), (F.sum("score") / (F.count("*") * 100)).alias("avg_confidence"))
     names = F.array(*(F.lit(z) for z, _ in ZONES["landscape"]), F.lit("unknown"))
     every = words.select("label_id").distinct().select("label_id", F.explode(names).alias("zone"))
-    return every.join(found, ["label_id", "zone"], "left").select("label_id", "zone", F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
+    return every.join(found, ["label_id", "zone"], "left").select(
+        "label_id", "zone", F.coalesce("raw_lines", F.array().cast("array<string>")).alias("raw_lines"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence")
+    )

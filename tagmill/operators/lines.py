@@ -1,7 +1,7 @@
 """Words to lines, texts and zone summaries.
 
-A group's words are gathered once, for the gap that opens a line; they are scattered again under the same partitioning, so
-lines and what is made of them need no further shuffle. A group is the words of one label or of one of its zones.
+A group's gap is made of its heights alone and joined with its words by the group, so lines and what is made of them need no
+further shuffle. A group is the words of one label or of one of its zones.
 """
 
 from __future__ import annotations
@@ -30,9 +30,7 @@ def line_gap(words: DataFrame, *by: str) -> DataFrame:
 def line_groups(words: DataFrame, *by: str) -> DataFrame:
     """words with line_no from 0: a word opens a line if its top is under all earlier bottoms by more than the gap."""
     by = by or ("label_id",)
-    rest = [c for c in words.columns if c not in by]
-    groups = words.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("ws"))
-    rows = groups.select(*by, _gap(F.transform("ws", lambda w: w["h"]))[1].alias("line_gap"), F.explode("ws").alias("w")).select(*by, "w.*", "line_gap")
+    rows = words.join(line_gap(words, *by).select(*by, F.col("gap").alias("line_gap")), list(by))
     order = Window.partitionBy(*by).orderBy("y", "x", "word_idx")
     opened = F.when(F.col("y") > F.max(F.col("y") + F.col("h")).over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("line_gap"), 1).otherwise(0)
     rows = rows.withColumn("opened", opened)

@@ -54,10 +54,14 @@ def digits(text: Column) -> Column:
 
 def box_around(words: Column) -> Column:
     """STRUCT x, y, w, h around words (structs with these), null where there are none."""
-    edge = lambda f, of: f(F.transform(words, of))
-    x, y = edge(F.array_min, lambda w: w["x"]), edge(F.array_min, lambda w: w["y"])
-    right, bottom = edge(F.array_max, lambda w: w["x"] + w["w"]), edge(F.array_max, lambda w: w["y"] + w["h"])
-    return F.when(F.size(words) > 0, F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h")))
+    edge = lambda f, ws, of: f(F.transform(ws, of))
+
+    def box(ws: Column) -> Column:
+        x, y = edge(F.array_min, ws, lambda w: w["x"]), edge(F.array_min, ws, lambda w: w["y"])
+        right, bottom = edge(F.array_max, ws, lambda w: w["x"] + w["w"]), edge(F.array_max, ws, lambda w: w["y"] + w["h"])
+        return F.when(F.size(ws) > 0, F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h")))
+
+    return first(F.transform(F.array(words), box))  # the words are found once, not at each edge
 
 
 def nano(value: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmill import __main__ as command
+from tagmill import catalog
 from tagmill import fixtures as fx
 from tagmill import functions as fn
 from tagmill.operators import boxes, checks, corrections, extract, fields, geometry, gs1, lines, merge, passes, records, rules, spec
@@ -322,3 +323,15 @@ def test_sources_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["file_hash"] for r in spark.table("arrived_once").collect()) == ["h1", "h2"]
+
+
+@pytest.mark.parametrize("name", ["address_block"])
+def test_words_stay_off_the_driver(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_line_groups_by_the_upper_median(spark):
+    words = spark.createDataFrame([(1, 0, 0, 0, 10), (1, 1, 0, 20, 20), (1, 2, 0, 55, -1), (2, 0, 0, 0, 0), (2, 1, 0, 5, 0), (None, 0, 0, 0, 9)], "label_id int, word_idx int, x int, y int, h int")
+    got = {(r["label_id"], r["word_idx"]): r["line_no"] for r in lines.line_groups(words).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (2, 0): 0, (2, 1): 1}  # gaps 14 and 4; a word without a label is in no line

@@ -325,7 +325,7 @@ def test_sources_and_stream(spark, tmp_path):
     assert sorted(r["file_hash"] for r in spark.table("arrived_once").collect()) == ["h1", "h2"]
 
 
-@pytest.mark.parametrize("name", ["address_block", "supplier", "plant_or_patent", "copyright_notice"])
+@pytest.mark.parametrize("name", ["address_block", "supplier", "plant_or_patent", "copyright_notice", "origin_ladder"])
 def test_words_stay_off_the_driver(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1

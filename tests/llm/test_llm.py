@@ -611,3 +611,11 @@ def test_pipeline(spark):
     assert set(got) == set(texts) and all(r["lossless"] for r in got.values())
     model = pieces.load(pieces.default_model())
     assert all(model.decode(np.array(r["ids"])) == texts[d] for d, r in got.items())
+
+
+def test_driver_gives_back_after_each_table(spark, monkeypatch):
+    assert common.driver_gives_back(spark)
+    real, said = common.driver_gives_back, []
+    monkeypatch.setattr(common, "driver_gives_back", lambda s: said.append(real(s)))
+    assert common.saved(common.saved(spark.range(3), "one"), "two").count() == 3
+    assert said == [True, True]

@@ -331,7 +331,7 @@ def test_words_stay_off_the_driver(spark, name):
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize(("name", "other"), [("address_block", "origin_text"), ("supplier", "origin_text"), ("plant_or_patent", "origin_text"), ("copyright_notice", "origin_text")])
+@pytest.mark.parametrize(("name", "other"), [("address_block", "origin_text"), ("supplier", "origin_text"), ("plant_or_patent", "origin_text"), ("copyright_notice", "origin_text"), ("origin_ladder", "supplier_name")])
 def test_labels_are_dealt_out_before_their_words(spark, name, other):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.index("Generate stack") < plan.index("Exchange") and plan.count("Exchange") == 1  # what stands below runs first

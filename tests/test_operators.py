@@ -166,6 +166,17 @@ def test_overlaps_in_a_grid(spark):
     assert got == want
 
 
+def test_repeated_boxes_meet_in_one_shuffle(spark, tmp_path):
+    rows = [(1, 1, 0, 0, 600, 20, 5), (1, 1, 0, 0, 600, 20, 5), (1, 1, 0, 0, 600, 20, 6), (1, 2, 500, 10, 300, 600, 5), (1, 2, 500, 10, 300, 600, 5), (2, 3, 500, 10, 300, 600, 5), (None, 4, 0, 0, 9, 9, 5), (None, 5, 0, 0, 9, 9, 5)]
+    spark.createDataFrame(rows, "label_id int, seq int, x int, y int, w int, h int, b int").write.parquet(str(tmp_path / "boxes"))
+    pairs = geometry.overlaps(spark.read.parquet(str(tmp_path / "boxes")), distinct=True)
+    assert sorted(tuple(r)[:4] for r in pairs.collect()) == [(1, 1, 2, 1000), (1, 1, 2, 1000)]  # once for each colour
+    plan = catalog.queries()["overlap_pairs"](spark, SF)
+    assert plan.count() == plan.distinct().count()
+    shuffles = plan._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1:]
+    assert len(shuffles) == 2 and len({x.split(")")[0].count(",") for x in shuffles}) == 1 and all("REPARTITION_BY_NUM" in x.split("\n")[0] for x in shuffles)  # alike, so the second is the first's
+
+
 def test_lines_match_a_scan(spark):
     rng = random.Random(5)
     rows = [(label, k, f"t{k}", rng.randrange(900), rng.randrange(200), 20, rng.randrange(0, 30), 0.5) for label in range(30) for k in range(rng.randrange(1, 15))]

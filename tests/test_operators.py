@@ -178,6 +178,31 @@ def test_repeated_boxes_meet_in_one_shuffle(spark, tmp_path):
     assert len(shuffles) == 2 and len({x.split(")")[0].count(",") for x in shuffles}) == 1 and all("REPARTITION_BY_NUM" in x.split("\n")[0] for x in shuffles)  # alike, so the second is the first's
 
 
+@pytest.mark.parametrize("kinds", ["seq long, x int, y int, w int, h int, b int", "seq long, x long, y long, w int, h short, b long, g byte, r short, s int, name string", "seq long, x double, y int, w int, h int, b int", "seq long, x int, y int, w int, h int"])
+def test_packed_boxes_lose_no_pair(spark, tmp_path, kinds):
+    rng = random.Random(11)
+    columns = kinds.split(", ")
+    some = {"seq": (1, 2, 3, 4, -5, 2**48 - 1, 2**48, 2**62), "x": (-3000, -7, 0, 500, 509, 16380, 16383, 16384, 70000), "y": (-40, 0, 505, 16383, 16384, 30000), "w": (1, 20, 600, 16383, 20000), "h": (-2, 1, 30, 600, 16384), "b": (None, -1, 0, 255, 256, 5), "g": (None, 7, -7), "s": (1, 2)}
+    near = {"seq": range(90), "x": range(1200), "y": range(700), "w": range(1, 300), "h": range(1, 200)}
+    value = lambda c, kind, of: str(rng.randrange(2)) if kind == "string" else (float if kind == "double" else lambda v: v)(rng.choice((*of.get(c, some.get(c, (0, 255, 256, None))),)))
+    rows = [(rng.randrange(2), *(value(*c.split(), of) for c in columns)) for of in (some, near) for _ in range(150)]
+    rows += [(1, *(None if k == gone else v for k, v in enumerate(rows[-1][1:]))) for gone in range(5)] + [(None, *rows[-1][1:])] * 2
+    rows = [(r[0], *((v if v is None or not c.endswith("double") else float(v)) for c, v in zip(columns, r[1:], strict=True))) for r in rows * 2]
+    spark.createDataFrame(rows, f"label_id int, {kinds}").write.parquet(str(tmp_path / "boxes"))
+    boxes = spark.read.parquet(str(tmp_path / "boxes"))
+    got, want = geometry.overlaps(boxes, distinct=True), geometry.overlaps(boxes.distinct())
+    assert got.dtypes == want.dtypes
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (got, want))
+    assert len(want) > 500 and got == want
+
+
+def test_boxes_are_packed_for_their_shuffle(spark):
+    plan = catalog.queries()["overlap_pairs"](spark, SF)
+    told = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+    sent = re.findall(r"\) Exchange\nInput \[(\d+)\]: \[(.*)\]", told)
+    assert sent and {n for n, _ in sent} == {"6"} and all(re.sub(r"#\d+L?", "", names) == "label_id, cx, cy, _p0, _p1, _wide" for _, names in sent)  # a label's key, its cell and two longs
+
+
 def test_lines_match_a_scan(spark):
     rng = random.Random(5)
     rows = [(label, k, f"t{k}", rng.randrange(900), rng.randrange(200), 20, rng.randrange(0, 30), 0.5) for label in range(30) for k in range(rng.randrange(1, 15))]
